@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from factfade.operators.visibility import (
     live_observations,
     with_live_event,
 )
-from factfade.session import at
+from factfade.session import at, materialize
 
 MOST_HITS = COLLECT_FACTOR * MAX_RESULTS
 
@@ -44,7 +46,7 @@ ALWAYS_RUN = 3
 def prepare_queries(queries: DataFrame) -> DataFrame:
     """(query_id, text, keep, collect, cap, terms, clean) of queries that can return rows."""
     keep = sanitize_limit(F.col("max_results"))
-    return (
+    prepared = (
         queries.select("query_id", trim_white(F.col("text")).alias("text"), keep.alias("keep"))
         .filter((F.col("keep") > 0) & (F.col("text") != ""))
         .withColumn("collect", F.col("keep") * COLLECT_FACTOR)
@@ -52,6 +54,7 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
         .withColumn("terms", raw_terms(F.col("text")))
         .withColumn("clean", query_terms(F.col("text")))
     )
+    return materialize(prepared, "queries")
 
 
 def _phrase_of(c: Column) -> Column:
@@ -243,10 +246,7 @@ def channel_hits(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
         fts_phrase(prepared, weights), fts_any_term(prepared, weights), by_entity,
         content_like(prepared, mem, as_of), event_label(prepared, mem, as_of),
     ]
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
-    return hits
+    return materialize(reduce(DataFrame.unionByName, parts), "channels")
 
 
 def merge_hits(hits: DataFrame, key: str = "query_id") -> DataFrame:
@@ -291,7 +291,8 @@ def cap_candidates(
 def collect_candidates(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
     """(query_id, obs_id, channels, best_weight, fts_pos) of a batch of queries."""
     hits = channel_hits(prepared, mem, as_of)
-    return merge_hits(cap_candidates(hits, prepared.select("query_id", "cap")))
+    capped = cap_candidates(hits, prepared.select("query_id", "cap"))
+    return materialize(merge_hits(capped), "candidates")
 
 
 def hydrate(candidates: DataFrame, mem: Memory, as_of) -> DataFrame:

@@ -184,13 +184,18 @@ def text_weights(hits: DataFrame) -> DataFrame:
     n_rows = totals.select("tf").scalar()
     mean_tokens = totals.select(F.col("all_tokens") / F.col("tf")).scalar()
     real = hits.filter(F.col("phrase") != _ROW_MARK)
-    idf = real.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).select(
-        "phrase",
-        F.greatest(
-            F.lit(IDF_FLOOR), F.log((n_rows - F.col("n") + 0.5) / (F.col("n") + 0.5))
-        ).alias("idf"),
+    # One row per phrase: written once, as the weights are used several times.
+    idf = materialize(
+        real.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).select(
+            "phrase",
+            F.greatest(
+                F.lit(IDF_FLOOR), F.log((n_rows - F.col("n") + 0.5) / (F.col("n") + 0.5))
+            ).alias("idf"),
+            mean_tokens.alias("mean_tokens"),
+        ),
+        "idf",
     )
-    length = K1 * (1 - B + B * F.col("row_tokens") / mean_tokens)
+    length = K1 * (1 - B + B * F.col("row_tokens") / F.col("mean_tokens"))
     return real.filter("live").join(idf, "phrase").select(
         "phrase", "obs_id", "entity_id",
         (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("weight"),
@@ -227,7 +232,7 @@ def best_rows(
         Window.partitionBy("key").orderBy("best", "phrase")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    split = (
+    split = materialize(
         terms.join(peaks, ["grp", "phrase"])
         .withColumn("best", F.col("peak") * F.col("times"))
         .withColumn("together", F.sum("best").over(rising))
@@ -236,21 +241,27 @@ def best_rows(
             "brings_rows",
             F.col("sure").isNull() | (F.col("together") >= F.col("sure") - margin),
         )
-        .select("key", "grp", "phrase", "times", "keep", "brings_rows")
+        .select("key", "grp", "phrase", "times", "keep", "brings_rows"),
+        "terms",
     )
-    brought = split.filter("brings_rows").join(weights, ["grp", "phrase"]).select(
-        "key", "grp", "keep", "obs_id", (F.col("weight") * F.col("times")).alias("part")
+    rows = (
+        split.filter("brings_rows").join(weights, ["grp", "phrase"])
+        .groupBy("key", "grp", "keep", "obs_id")
+        .agg(F.sum(F.col("weight") * F.col("times")).alias("part"))
     )
-    rows = brought.groupBy("key", "grp", "keep", "obs_id").agg(F.sum("part").alias("part"))
-    common = (
-        rows.select("key", "grp", "keep", "obs_id")
-        .join(split.filter(~F.col("brings_rows")).select("key", "phrase", "times"), "key")
-        .join(weights, ["grp", "phrase", "obs_id"])
-        .select("key", "keep", "obs_id", (F.col("weight") * F.col("times")).alias("part"))
+    common = split.filter(~F.col("brings_rows")).groupBy("key").agg(
+        F.collect_list(F.struct("phrase", "times")).alias("common")
     )
     scored = (
-        rows.select("key", "keep", "obs_id", "part").unionByName(common)
-        .groupBy("key", "keep", "obs_id").agg(F.sum("part").alias("score"))
+        rows.join(common, "key", "left")
+        .select("key", "grp", "keep", "obs_id", "part", F.explode_outer("common").alias("c"))
+        .select("key", "grp", "keep", "obs_id", "part", "c.phrase", "c.times")
+        .join(weights, ["grp", "phrase", "obs_id"], "left")
+        .groupBy("key", "keep", "obs_id")
+        .agg(
+            (F.max("part") + F.coalesce(F.sum(F.col("weight") * F.col("times")), F.lit(0.0)))
+            .alias("score")
+        )
     )
     by_score = Window.partitionBy("key").orderBy(F.desc(F.round("score", RANK_DECIMALS)), "obs_id")
     return (

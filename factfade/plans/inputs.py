@@ -309,10 +309,13 @@ def search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as incoming facts in three batches; a few carry an impossible confidence."""
+    """Turns as incoming facts, a batch per conversation.
+
+    A few carry an impossible confidence or hang on an event that has ended.
+    """
     c, t = F.col("conv_id"), F.col("turn")
     return table(spark, sf_dir, "conversations").select(
-        (c % 3).alias("batch_id"), (c * 100 + t).alias("seq"),
+        c.alias("batch_id"), (c * 100 + t).alias("seq"),
         F.when(t % 2 == 0, F.col("role")).otherwise(F.upper("role")).alias("entity"),
         F.when(t % 3 == 0, "speaker").alias("entity_type"), F.col("text").alias("observation"),
         nothing("string").alias("source"),
