@@ -247,7 +247,7 @@ def touch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "text_match_ids",
     oracle_search.text_only() + """
-SELECT query_id, wgt.obs_id, round(-sum(weight * times), 6) AS text_rank
+SELECT query_id, wgt.obs_id, round(round(-sum(weight * times), 9), 6) AS text_rank
 FROM tp JOIN wgt ON wgt.phrase = tp.phrase GROUP BY query_id, wgt.obs_id""",
 )
 def text_match_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
