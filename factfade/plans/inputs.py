@@ -274,8 +274,12 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calls_of(table(spark, sf_dir, "events"))
+
+
+def calls_of(stream: DataFrame) -> DataFrame:
     kind, user = F.col("event_type"), F.col("user_id")
-    return table(spark, sf_dir, "events").select(
+    return stream.select(
         (F.col("event_id") + 1).alias("id"), "ts",
         F.when(kind == "view", "recall").when(kind == "click", "remember")
         .when(kind == "purchase", "forget").when(kind == "signup", "remember_event")
@@ -313,8 +317,12 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A few carry an impossible confidence or hang on an event that has ended.
     """
+    return facts_of(table(spark, sf_dir, "conversations"))
+
+
+def facts_of(conversations: DataFrame) -> DataFrame:
     c, t = F.col("conv_id"), F.col("turn")
-    return table(spark, sf_dir, "conversations").select(
+    return conversations.select(
         c.alias("batch_id"), (c * 100 + t).alias("seq"),
         F.when(t % 2 == 0, F.col("role")).otherwise(F.upper("role")).alias("entity"),
         F.when(t % 3 == 0, "speaker").alias("entity_type"), F.col("text").alias("observation"),

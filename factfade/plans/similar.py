@@ -158,9 +158,9 @@ def entity_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COMPONENTS = _pairs(200).replace("WITH ", "WITH RECURSIVE ", 1) + """,
 edge AS (SELECT entity_id, entity_name, target_obs_id AS a, source_obs_id AS b, similarity FROM best WHERE rn <= 100),
 both_ways AS (SELECT entity_id, a, b FROM edge UNION SELECT entity_id, b, a FROM edge),
-reach AS (SELECT entity_id, a AS start, a AS at FROM both_ways
-          UNION SELECT r.entity_id, r.start, e.b FROM reach r JOIN both_ways e ON e.entity_id = r.entity_id AND e.a = r.at),
-label AS (SELECT entity_id, start AS node, min(at) AS label FROM reach GROUP BY entity_id, start),
+reach AS (SELECT entity_id, a AS start, a AS seen FROM both_ways
+          UNION SELECT r.entity_id, r.start, e.b FROM reach r JOIN both_ways e ON e.entity_id = r.entity_id AND e.a = r.seen),
+label AS (SELECT entity_id, start AS node, min(seen) AS label FROM reach GROUP BY entity_id, start),
 clu AS (
   SELECT l.entity_id, l.label, min(e.entity_name) AS entity_name, count(*) AS pairs, max(similarity) AS max_sim,
          avg(similarity) AS avg_sim,

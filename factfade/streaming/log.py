@@ -15,7 +15,9 @@ def usage_stream(calls: DataFrame, bucket: str = "1 hour") -> DataFrame:
     """
     window = F.window("ts", bucket)
     return (
-        calls.withWatermark("ts", LATENESS)
+        # Watermarks need the zoned type; the session zone is UTC.
+        calls.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", LATENESS)
         .groupBy(window.alias("bucket"), "client_name", "tool")
         .agg(
             F.count(F.lit(1)).alias("calls"), F.round(F.avg("duration_ms"), 1).alias("avg_ms"),
