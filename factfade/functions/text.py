@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WHITE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 QUOTES = "\"“”„‟«»‹›"
 TOKEN = r"[\p{L}\p{N}]+"
+# The same two classes for text that is all ASCII: much faster to match.
+ASCII_WHITE = r"[\t\n\x0B\f\r ]+"
+ASCII_TOKEN = "[a-z0-9]+"
 SNIPPET_LENGTH = 120
 
 
@@ -70,14 +73,19 @@ def folded(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of letters and digits; an empty array for NULL."""
-    return F.coalesce(
-        F.regexp_extract_all(folded(c), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>")
-    )
+    found = F.when(
+        _is_ascii(c), F.regexp_extract_all(F.lower(c), F.lit(ASCII_TOKEN), F.lit(0))
+    ).otherwise(F.regexp_extract_all(folded(c), F.lit(TOKEN), F.lit(0)))
+    return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(found)
+
+
+def split_white(c: Column) -> Column:
+    return F.when(_is_ascii(c), F.split(c, ASCII_WHITE)).otherwise(F.split(c, WHITE))
 
 
 def raw_terms(c: Column) -> Column:
     """White-space separated terms with their quote marks."""
-    return F.filter(F.split(trim_white(F.coalesce(c, F.lit(""))), WHITE), lambda t: t != "")
+    return F.filter(split_white(F.coalesce(c, F.lit(""))), lambda t: t != "")
 
 
 def query_terms(c: Column) -> Column:

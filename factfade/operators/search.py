@@ -35,8 +35,6 @@ from factfade.operators.visibility import (
 )
 from factfade.session import at, materialize
 
-MOST_HITS = COLLECT_FACTOR * MAX_RESULTS
-
 # Steps of one search in the order in which they may add rows.  The first three
 # always run; each later one only while there is room.
 PHRASE, ANY_TERM, EXACT_NAME, NAME_PART, FIRST_TERM = 0, 1, 2, 3, 4
@@ -57,6 +55,11 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     return materialize(prepared, "queries")
 
 
+def most_hits(prepared: DataFrame) -> int:
+    """The largest number of hits any query of the batch takes from a channel."""
+    return prepared.agg(F.max("collect")).first()[0] or 1
+
+
 def _phrase_of(c: Column) -> Column:
     return F.array_join(tokens(c), " ")
 
@@ -85,7 +88,7 @@ def whole_phrases(prepared: DataFrame, terms: Column) -> DataFrame:
 
 
 def _text_channel(
-    terms: DataFrame, weights: DataFrame, step: int, channel: str, most: int = MOST_HITS
+    terms: DataFrame, weights: DataFrame, step: int, channel: str, most: int
 ) -> DataFrame:
     keyed = terms.select(
         F.col("query_id").alias("key"), F.lit(0).alias("grp"), "phrase", "times",
@@ -99,13 +102,15 @@ def _text_channel(
 
 def fts_any_term(prepared: DataFrame, weights: DataFrame) -> DataFrame:
     """Rows with any term in any field, best text rank first."""
-    return _text_channel(term_phrases(prepared), weights, ANY_TERM, "fts")
+    return _text_channel(
+        term_phrases(prepared), weights, ANY_TERM, "fts", most_hits(prepared)
+    )
 
 
 def fts_phrase(prepared: DataFrame, weights: DataFrame) -> DataFrame:
     """Rows with all terms next to each other in one field."""
     return _text_channel(
-        whole_phrases(prepared, F.col("terms")), weights, PHRASE, "fts_phrase"
+        whole_phrases(prepared, F.col("terms")), weights, PHRASE, "fts_phrase", most_hits(prepared)
     )
 
 
@@ -153,19 +158,20 @@ def _numbered(steps: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def _rows_of(owners: DataFrame, key: str, mem: Memory, as_of) -> DataFrame:
+def _rows_of(owners: DataFrame, key: str, mem: Memory, as_of, most: int) -> DataFrame:
     """First visible rows of matched entities or events per (channel, needle)."""
     seen = live_observations(mem, as_of).select(F.col("id").alias("obs_id"), key)
     return lowest_ids(
         owners.join(seen, key).select("channel", "needle", "obs_id"),
-        ["channel", "needle"], MOST_HITS,
+        ["channel", "needle"], most,
     )
 
 
 def entity_exact(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
     """Rows of the entity whose name is the whole query."""
     steps = _whole_text(prepared, F.lit(EXACT_NAME), "entity_exact")
-    return _numbered(steps, _rows_of(_exact_owners(steps, mem), "entity_id", mem, as_of))
+    rows = _rows_of(_exact_owners(steps, mem), "entity_id", mem, as_of, most_hits(prepared))
+    return _numbered(steps, rows)
 
 
 def _exact_owners(steps: DataFrame, mem: Memory) -> DataFrame:
@@ -177,7 +183,8 @@ def _exact_owners(steps: DataFrame, mem: Memory) -> DataFrame:
 def entity_like(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
     """Rows of entities whose name contains the query but is not equal to it."""
     steps = _whole_text(prepared, F.lit(NAME_PART), "entity_like")
-    return _numbered(steps, _rows_of(_like_owners(steps, mem), "entity_id", mem, as_of))
+    rows = _rows_of(_like_owners(steps, mem), "entity_id", mem, as_of, most_hits(prepared))
+    return _numbered(steps, rows)
 
 
 def _like_owners(steps: DataFrame, mem: Memory) -> DataFrame:
@@ -192,7 +199,8 @@ def _like_owners(steps: DataFrame, mem: Memory) -> DataFrame:
 def type_like(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
     """Rows of entities whose present type contains a term, one step per term."""
     steps = _each_term(prepared, FIRST_TERM + F.size("terms"), "type_like")
-    return _numbered(steps, _rows_of(_type_owners(steps, mem), "entity_id", mem, as_of))
+    rows = _rows_of(_type_owners(steps, mem), "entity_id", mem, as_of, most_hits(prepared))
+    return _numbered(steps, rows)
 
 
 def _type_owners(steps: DataFrame, mem: Memory) -> DataFrame:
@@ -213,7 +221,8 @@ def event_label(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
     owners = labelled.join(pairs, F.col("label") == F.col("text")).select(
         "event_id", F.lit("event_label").alias("channel"), "needle"
     )
-    return _numbered(steps, _rows_of(owners, "event_id", mem, as_of))
+    rows = _rows_of(owners, "event_id", mem, as_of, most_hits(prepared))
+    return _numbered(steps, rows)
 
 
 def content_like(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
@@ -222,7 +231,7 @@ def content_like(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
     rows = live_observations(mem, as_of).select(
         F.col("id").alias("obs_id"), ascii_lower(F.col("content")).alias("text")
     )
-    hits = lowest_ids_containing(rows, steps, MOST_HITS)
+    hits = lowest_ids_containing(rows, steps, most_hits(prepared))
     return _numbered(steps, hits.withColumn("channel", F.lit("content_like")))
 
 
@@ -240,7 +249,8 @@ def channel_hits(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
         .unionByName(_type_owners(kind, mem))
     )
     by_entity = _numbered(
-        exact.unionByName(like).unionByName(kind), _rows_of(owners, "entity_id", mem, as_of)
+        exact.unionByName(like).unionByName(kind),
+        _rows_of(owners, "entity_id", mem, as_of, most_hits(prepared)),
     )
     parts = [
         fts_phrase(prepared, weights), fts_any_term(prepared, weights), by_entity,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factfade.functions.text import WHITE
+from factfade.functions.text import split_white
 from factfade.session import materialize
 
 # Up to this many needles are tested one by one inside the scan of the texts.
@@ -37,10 +37,19 @@ def _test_each(df: DataFrame, text: str, needles: list[str]) -> DataFrame:
     )
 
 
+def _runs(c: Column, n: int) -> Column:
+    """All runs of ``n`` characters; NULL-free, empty for shorter texts."""
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(c) - (n - 1), F.lit(1)))
+    cut = F.transform(starts, lambda i: F.substring(c, i, n))
+    # Cutting at every place is quadratic, so long texts go through a pattern.
+    return F.when(F.char_length(c) < n, F.array().cast("array<string>")).when(
+        F.char_length(c) <= 64, cut
+    ).otherwise(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
 def _grams(c: Column) -> Column:
     """Distinct runs of one, two and three characters."""
-    runs = [F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
-    return F.array_distinct(F.concat(*runs))
+    return F.array_distinct(F.concat(*[_runs(c, n) for n in (1, 2, 3)]))
 
 
 def _needle_grams(c: Column) -> Column:
@@ -59,13 +68,19 @@ def match_substrings(texts: DataFrame, needles: DataFrame) -> DataFrame:
     few = _few(needles)
     if few is not None:
         return _test_each(texts, "text", few)
-    needles = needles.select("needle").distinct().filter(F.col("needle") != "")
-    runs = texts.select("text", F.explode(_grams(F.col("text"))).alias("gram"))
+    sought = (
+        needles.select("needle").distinct().filter(F.col("needle") != "")
+        .select("needle", F.explode(_needle_grams(F.col("needle"))).alias("gram"))
+    )
+    runs = materialize(
+        texts.select("text", F.explode(_grams(F.col("text"))).alias("gram")).join(
+            sought.select("gram").distinct(), "gram", "left_semi"
+        ),
+        "grams",
+    )
     counts = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (
-        needles.select("needle", F.explode(_needle_grams(F.col("needle"))).alias("gram"))
-        .join(counts, "gram")
-        .groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    rarest = sought.join(counts, "gram").groupBy("needle").agg(
+        F.min_by("gram", F.struct("n", "gram")).alias("gram")
     )
     return (
         runs.join(rarest, "gram").filter(F.contains(F.col("text"), F.col("needle")))
@@ -89,9 +104,19 @@ def lowest_ids_containing(
         hits = _test_each(rows, "text", few).select(*keys, "needle", "obs_id")
         return lowest_ids(hits, [*keys, "needle"], most)
     words = rows.select(
-        *keys, "obs_id", F.explode(F.array_distinct(F.split("text", WHITE))).alias("text")
+        *keys, "obs_id", F.explode(F.array_distinct(split_white(F.col("text")))).alias("text")
     ).filter(F.col("text") != "")
-    heads = materialize(lowest_ids(words, [*keys, "text"], most).drop("position"), "words")
-    pairs = match_substrings(heads, needles)
-    hits = heads.join(pairs, "text").select(*keys, "needle", "obs_id").distinct()
-    return lowest_ids(hits, [*keys, "needle"], most)
+    heads = materialize(lowest_ids(words, [*keys, "text"], most), "words")
+    pairs = materialize(match_substrings(heads, needles), "pairs")
+    # A word with ``most`` rows bounds the ids that can matter to every needle in it.
+    full = heads.filter(F.col("position") == most - 1).select(
+        *keys, "text", F.col("obs_id").alias("last_id")
+    )
+    bounds = full.join(pairs, "text").groupBy(*keys, "needle").agg(F.min("last_id").alias("last_id"))
+    hits = heads.drop("position").join(pairs, "text")
+    hits = hits.join(bounds, [*keys, "needle"], "left").filter(
+        F.col("last_id").isNull() | (F.col("obs_id") <= F.col("last_id"))
+    )
+    return lowest_ids(
+        hits.select(*keys, "needle", "obs_id").distinct(), [*keys, "needle"], most
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factfade.functions.privacy import sanitize_args as _args
@@ -12,6 +12,11 @@ from factfade.operators.ordering import with_previous
 TOP = 20
 
 
+def mean_ms() -> Column:
+    """Mean duration to one decimal, summed exactly so that no order of rows changes it."""
+    return F.round(F.avg(F.col("duration_ms").cast("decimal(18,6)")), 1).cast("double")
+
+
 def sanitize_args(calls: DataFrame, column: str, strict: bool = False) -> DataFrame:
     return calls.withColumn("args_summary", _args(F.col(column), strict))
 
@@ -24,7 +29,7 @@ def usage_by_client(calls: DataFrame) -> DataFrame:
     """Calls and mean duration by client and tool, most calls first."""
     return (
         calls.groupBy("client_name", "tool")
-        .agg(F.count(F.lit(1)).alias("calls"), F.round(F.avg("duration_ms"), 1).alias("avg_ms"))
+        .agg(F.count(F.lit(1)).alias("calls"), mean_ms().alias("avg_ms"))
         .orderBy(F.desc("calls"), "client_name", "tool")
     )
 

@@ -20,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts spread over the cores.
+
+    The small sample files have a single row group, which one task would read and
+    tokenize alone.  Data that already comes in enough pieces stays as it is.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def moment(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -69,7 +80,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         (d + 1).alias("id"),
         source_id().alias("entity_id"),
         F.col("text").alias("content"),
@@ -92,7 +103,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as observations of three entities, one per role."""
     c, t = F.col("conv_id"), F.col("turn")
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations").select(
         (c * 100 + t + 1).alias("id"),
         F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2)
         .otherwise(3).cast("long").alias("entity_id"),
@@ -147,7 +158,7 @@ def lang_id() -> Column:
 def lang_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as observations of their language: real exact copies occur."""
     d = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         (d + 1).alias("id"),
         lang_id().alias("entity_id"),
         F.col("text").alias("content"),
@@ -317,7 +328,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A few carry an impossible confidence or hang on an event that has ended.
     """
-    return facts_of(table(spark, sf_dir, "conversations"))
+    return facts_of(texts(spark, sf_dir, "conversations"))
 
 
 def facts_of(conversations: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def summarize_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "usage_by_client",
-    _CALLS + "SELECT client_name, tool, count(*) AS calls, round(avg(duration_ms), 1) AS avg_ms FROM m_tool_calls GROUP BY client_name, tool",
+    _CALLS + "SELECT client_name, tool, count(*) AS calls, round(avg(CAST(duration_ms AS DECIMAL(18,6))), 1) AS avg_ms FROM m_tool_calls GROUP BY client_name, tool",
 )
 def usage_by_client(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.usage_by_client(inputs.tool_calls(spark, sf_dir))
@@ -178,7 +178,7 @@ def entity_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "usage_stream",
     _CALLS + f"""
 SELECT {ts("date_trunc('hour', ts)")} AS bucket_start, client_name, tool, count(*) AS calls,
-       round(avg(duration_ms), 1) AS avg_ms, CAST(sum(is_error) AS BIGINT) AS errors,
+       round(avg(CAST(duration_ms AS DECIMAL(18,6))), 1) AS avg_ms, CAST(sum(is_error) AS BIGINT) AS errors,
        round(100.0::DOUBLE * sum(is_error) / count(*), 1) AS error_pct
 FROM m_tool_calls GROUP BY date_trunc('hour', ts), client_name, tool
 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM m_tool_calls)""",

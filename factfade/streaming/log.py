@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factfade.operators.usage import mean_ms
+
 LATENESS = "10 minutes"
 
 
@@ -20,7 +22,7 @@ def usage_stream(calls: DataFrame, bucket: str = "1 hour") -> DataFrame:
         .withWatermark("ts", LATENESS)
         .groupBy(window.alias("bucket"), "client_name", "tool")
         .agg(
-            F.count(F.lit(1)).alias("calls"), F.round(F.avg("duration_ms"), 1).alias("avg_ms"),
+            F.count(F.lit(1)).alias("calls"), mean_ms().alias("avg_ms"),
             F.sum(F.col("is_error").cast("long")).alias("errors"),
         )
         .select(
