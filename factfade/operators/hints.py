@@ -9,13 +9,13 @@ from factfade.functions.text import ascii_lower, compact_snippet, query_terms, t
 from factfade.model import Memory
 from factfade.operators.search import (
     cap_candidates,
+    content_hits_while_room,
     hydrate,
     merge_hits,
     score_candidates,
     term_phrases,
     whole_phrases,
 )
-from factfade.operators.substrings import lowest_ids_containing
 from factfade.operators.textindex import best_rows, phrase_hits, text_weights
 from factfade.operators.visibility import live_observations
 from factfade.session import materialize
@@ -70,18 +70,22 @@ def conflict_hints(
         .join(owner.select("entity_id").distinct(), "entity_id", "left_semi")
         .select(F.col("id").alias("obs_id"), "entity_id", ascii_lower(F.col("content")).alias("text"))
     )
-    contained = lowest_ids_containing(rows, steps, MOST_HITS, ("entity_id",))
-    by_content = steps.join(contained, ["entity_id", "needle"]).select(
-        "query_id", "step", F.lit("content_like").alias("channel"), "obs_id", "position",
-        F.lit(None).cast("int").alias("fts_pos"),
-    )
-    hits = materialize(
-        by_text(whole, PHRASE, "fts_phrase")
-        .unionByName(by_text(single, ANY_TERM, "fts"))
-        .unionByName(by_content),
-        "hint-hits",
+    texts = materialize(
+        by_text(whole, PHRASE, "fts_phrase").unionByName(by_text(single, ANY_TERM, "fts")),
+        "hint-texts",
     )
     caps = asked.select("query_id", F.lit(MOST_CANDIDATES).alias("cap"))
+
+    def numbered(wanted: DataFrame, contained: DataFrame) -> DataFrame:
+        return wanted.join(contained, ["entity_id", "needle"]).select(
+            "query_id", "step", F.lit("content_like").alias("channel"), "obs_id", "position",
+            F.lit(None).cast("int").alias("fts_pos"),
+        )
+
+    contents = content_hits_while_room(
+        steps, texts, caps, rows, MOST_HITS, numbered, ("entity_id",)
+    )
+    hits = materialize(texts.unionByName(contents), "hint-hits")
     candidates = materialize(merge_hits(cap_candidates(hits, caps, always=2)), "hint-candidates")
     keep = asked.select("query_id", F.lit(MOST_CANDIDATES).alias("keep"))
     ranked = score_candidates(

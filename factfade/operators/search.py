@@ -25,7 +25,13 @@ from factfade.functions.text import (
     trim_white,
 )
 from factfade.model import Memory
-from factfade.operators.substrings import lowest_ids, lowest_ids_containing, match_substrings
+from factfade.operators.substrings import (
+    has_many,
+    lowest_ids,
+    lowest_ids_containing,
+    match_substrings,
+    word_heads,
+)
 from factfade.operators.textindex import best_rows, phrase_hits, text_weights
 from factfade.operators.visibility import (
     active_events,
@@ -40,6 +46,9 @@ from factfade.session import at, materialize
 PHRASE, ANY_TERM, EXACT_NAME, NAME_PART, FIRST_TERM = 0, 1, 2, 3, 4
 ALWAYS_RUN = 3
 
+# Steps of a term channel that are looked up before it is known whether later ones run.
+EARLY_STEPS = 8
+
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
     """(query_id, text, keep, collect, cap, terms, clean) of queries that can return rows."""
@@ -225,20 +234,64 @@ def event_label(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
     return _numbered(steps, rows)
 
 
+def _contents(mem: Memory, as_of) -> DataFrame:
+    return live_observations(mem, as_of).select(
+        F.col("id").alias("obs_id"), ascii_lower(F.col("content")).alias("text")
+    )
+
+
 def content_like(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
     """Rows whose content contains a term (quote marks kept), one step per term."""
     steps = _each_term(prepared, F.lit(FIRST_TERM), "content_like")
-    rows = live_observations(mem, as_of).select(
-        F.col("id").alias("obs_id"), ascii_lower(F.col("content")).alias("text")
-    )
-    hits = lowest_ids_containing(rows, steps, most_hits(prepared))
+    hits = lowest_ids_containing(_contents(mem, as_of), steps, most_hits(prepared))
     return _numbered(steps, hits.withColumn("channel", F.lit("content_like")))
 
 
-def channel_hits(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
+def content_hits_while_room(
+    steps: DataFrame, before: DataFrame, caps: DataFrame, rows: DataFrame, most: int, number,
+    groups: tuple[str, ...] = (),
+) -> DataFrame:
+    """Content hits of the steps that can still count, looked up in two stages.
+
+    A long text has many terms, but once its list is full no later term runs.  The
+    first few terms are looked up for everyone, the others only for texts whose
+    list they leave with room.  A repeated term adds nothing to its first step.
+    ``number`` turns (steps, hits per needle) into hits per step.
+    """
+    keys = [c for c in steps.columns if c != "step"]
+    order = Window.partitionBy("query_id").orderBy("step")
+    steps = materialize(
+        steps.groupBy(*keys).agg(F.min("step").alias("step"))
+        .withColumn("nth", F.row_number().over(order)),
+        "steps",
+    )
+    heads = word_heads(rows, most, groups) if has_many(steps) else None
+
+    def look_up(asked: DataFrame) -> DataFrame:
+        return number(asked, lowest_ids_containing(rows, asked, most, groups, heads))
+
+    early = materialize(
+        look_up(steps.filter(F.col("nth") <= EARLY_STEPS).drop("nth")), "early"
+    )
+    full = (
+        before.select("query_id", "obs_id").unionByName(early.select("query_id", "obs_id"))
+        .distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        .join(caps, "query_id").filter(F.col("n") >= F.col("cap")).select("query_id")
+    )
+    late = materialize(
+        steps.filter(F.col("nth") > EARLY_STEPS).drop("nth").join(full, "query_id", "left_anti"),
+        "late-steps",
+    )
+    return early.unionByName(look_up(late))
+
+
+def channel_hits(
+    prepared: DataFrame, mem: Memory, as_of, only_while_room: bool = False
+) -> DataFrame:
     """Hits of all channels: (query_id, step, channel, obs_id, position, fts_pos).
 
-    The three entity channels share one pass over the visible rows.
+    The three entity channels share one pass over the visible rows.  With
+    ``only_while_room`` terms that can no longer run are not looked up.
     """
     weights = search_weights(prepared, mem, as_of)
     exact = _whole_text(prepared, F.lit(EXACT_NAME), "entity_exact")
@@ -252,11 +305,19 @@ def channel_hits(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
         exact.unionByName(like).unionByName(kind),
         _rows_of(owners, "entity_id", mem, as_of, most_hits(prepared)),
     )
-    parts = [
-        fts_phrase(prepared, weights), fts_any_term(prepared, weights), by_entity,
-        content_like(prepared, mem, as_of), event_label(prepared, mem, as_of),
-    ]
-    return materialize(reduce(DataFrame.unionByName, parts), "channels")
+    text = [fts_phrase(prepared, weights), fts_any_term(prepared, weights), by_entity]
+    others = materialize(
+        reduce(DataFrame.unionByName, [*text, event_label(prepared, mem, as_of)]), "channels"
+    )
+    if not only_while_room:
+        return others.unionByName(content_like(prepared, mem, as_of))
+    content = content_hits_while_room(
+        _each_term(prepared, F.lit(FIRST_TERM), "content_like"),
+        others.filter(F.col("step") < FIRST_TERM), prepared.select("query_id", "cap"),
+        _contents(mem, as_of), most_hits(prepared),
+        lambda steps, hits: _numbered(steps, hits.withColumn("channel", F.lit("content_like"))),
+    )
+    return materialize(others.unionByName(content), "channels")
 
 
 def merge_hits(hits: DataFrame, key: str = "query_id") -> DataFrame:
@@ -300,7 +361,7 @@ def cap_candidates(
 
 def collect_candidates(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
     """(query_id, obs_id, channels, best_weight, fts_pos) of a batch of queries."""
-    hits = channel_hits(prepared, mem, as_of)
+    hits = channel_hits(prepared, mem, as_of, only_while_room=True)
     capped = cap_candidates(hits, prepared.select("query_id", "cap"))
     return materialize(merge_hits(capped), "candidates")
 

@@ -88,8 +88,17 @@ def match_substrings(texts: DataFrame, needles: DataFrame) -> DataFrame:
     )
 
 
+def word_heads(rows: DataFrame, most: int, groups: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``most`` rows of each distinct word (and group) of (obs_id, text, *groups)."""
+    words = rows.select(
+        *groups, "obs_id", F.explode(F.array_distinct(split_white(F.col("text")))).alias("text")
+    ).filter(F.col("text") != "")
+    return materialize(lowest_ids(words, [*groups, "text"], most), "words")
+
+
 def lowest_ids_containing(
-    rows: DataFrame, needles: DataFrame, most: int, groups: tuple[str, ...] = ()
+    rows: DataFrame, needles: DataFrame, most: int, groups: tuple[str, ...] = (),
+    heads: DataFrame | None = None,
 ) -> DataFrame:
     """For each needle (and group) the first ``most`` rows whose ``text`` contains it.
 
@@ -97,16 +106,14 @@ def lowest_ids_containing(
     needles are matched against the distinct words of the texts instead of the
     texts: a needle without white space is in a text if and only if it is in one
     of its words, and only the first ``most`` rows of each word can matter.
+    ``heads`` may hand in the ``word_heads`` of the rows.
     """
     keys = list(groups)
     few = _few(needles)
     if few is not None:
         hits = _test_each(rows, "text", few).select(*keys, "needle", "obs_id")
         return lowest_ids(hits, [*keys, "needle"], most)
-    words = rows.select(
-        *keys, "obs_id", F.explode(F.array_distinct(split_white(F.col("text")))).alias("text")
-    ).filter(F.col("text") != "")
-    heads = materialize(lowest_ids(words, [*keys, "text"], most), "words")
+    heads = word_heads(rows, most, groups) if heads is None else heads
     pairs = materialize(match_substrings(heads, needles), "pairs")
     # A word with ``most`` rows bounds the ids that can matter to every needle in it.
     full = heads.filter(F.col("position") == most - 1).select(
@@ -120,3 +127,7 @@ def lowest_ids_containing(
     return lowest_ids(
         hits.select(*keys, "needle", "obs_id").distinct(), [*keys, "needle"], most
     )
+
+
+def has_many(needles: DataFrame) -> bool:
+    return _few(needles) is None
