@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factfade.functions.text import split_white
 from factfade.session import materialize
 
-# Up to this many needles are tested one by one inside the scan of the texts.
+# Up to this many needles are tested one by one inside the scan of the texts, and
+# up to that many against each distinct word.
 FEW = 64
+FEW_PER_WORD = 512
 
 
-def _few(needles: DataFrame) -> list[str] | None:
-    """The distinct needles if they are few, else None.  Reads at most FEW + 1 rows."""
-    head = needles.select("needle").distinct().limit(FEW + 1).collect()
-    return None if len(head) > FEW else sorted(r["needle"] for r in head)
+def _few(needles: DataFrame, most: int) -> list[str] | None:
+    """The distinct needles if there are at most ``most``, else None."""
+    head = needles.select("needle").distinct().limit(most + 1).collect()
+    return None if len(head) > most else sorted(r["needle"] for r in head)
 
 
 def lowest_ids(df: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -31,7 +35,8 @@ def lowest_ids(df: DataFrame, keys: list[str], most: int) -> DataFrame:
 
 
 def _test_each(df: DataFrame, text: str, needles: list[str]) -> DataFrame:
-    listed = F.array(*[F.lit(n) for n in needles]) if needles else F.array().cast("array<string>")
+    # One constant for the whole list; the optimizer folds it.
+    listed = F.from_json(F.lit(json.dumps(needles)), "array<string>")
     return df.select("*", F.explode(listed).alias("needle")).filter(
         F.contains(F.col(text), F.col("needle"))
     )
@@ -65,7 +70,7 @@ def match_substrings(texts: DataFrame, needles: DataFrame) -> DataFrame:
     ordinary equi-join, and are then verified.
     """
     texts = texts.select("text").distinct()
-    few = _few(needles)
+    few = _few(needles, FEW_PER_WORD)
     if few is not None:
         return _test_each(texts, "text", few)
     sought = (
@@ -109,7 +114,7 @@ def lowest_ids_containing(
     ``heads`` may hand in the ``word_heads`` of the rows.
     """
     keys = list(groups)
-    few = _few(needles)
+    few = _few(needles, FEW)
     if few is not None:
         hits = _test_each(rows, "text", few).select(*keys, "needle", "obs_id")
         return lowest_ids(hits, [*keys, "needle"], most)
@@ -130,4 +135,4 @@ def lowest_ids_containing(
 
 
 def has_many(needles: DataFrame) -> bool:
-    return _few(needles) is None
+    return _few(needles, FEW) is None

@@ -241,24 +241,31 @@ def best_rows(
             "brings_rows",
             F.col("sure").isNull() | (F.col("together") >= F.col("sure") - margin),
         )
-        .select("key", "grp", "phrase", "times", "keep", "best", "sure", "brings_rows"),
+        .select("key", "grp", "phrase", "times", "keep", "best", "brings_rows"),
         "terms",
     )
-    rows = (
+    rows = materialize(
         split.filter("brings_rows").join(weights, ["grp", "phrase"])
-        .groupBy("key", "grp", "keep", "sure", "obs_id")
-        .agg(F.sum(F.col("weight") * F.col("times")).alias("part"))
+        .groupBy("key", "grp", "keep", "obs_id")
+        .agg(F.sum(F.col("weight") * F.col("times")).alias("part")),
+        "scored",
+    )
+    # These sums are a better bound than the heads gave: rows that cannot reach it
+    # even with the best of all common words are done with.
+    reached = (
+        rows.withColumn("rn", F.row_number().over(by_part))
+        .filter((F.col("rn") <= most) & (F.col("rn") == F.col("keep")))
+        .select("key", F.col("part").alias("sure"))
     )
     common = split.filter(~F.col("brings_rows")).groupBy("key").agg(
         F.collect_list(F.struct("phrase", "times")).alias("common"),
         F.sum("best").alias("common_best"),
     )
-    # Rows that cannot reach the sure score even with all common words are done with.
     hopeful = F.col("sure").isNull() | (
         F.col("part") + F.coalesce("common_best", F.lit(0.0)) >= F.col("sure") - margin
     )
     scored = (
-        rows.join(common, "key", "left").filter(hopeful)
+        rows.join(reached, "key", "left").join(common, "key", "left").filter(hopeful)
         .select("key", "grp", "keep", "obs_id", "part", F.explode_outer("common").alias("c"))
         .select("key", "grp", "keep", "obs_id", "part", "c.phrase", "c.times")
         .join(weights, ["grp", "phrase", "obs_id"], "left")

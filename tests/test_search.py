@@ -111,6 +111,20 @@ def test_a_full_list_drops_new_rows_and_stops_later_steps(spark):
                    (1, 12): ["entity_exact"], (2, 5): ["entity_like"]}
 
 
+def test_staged_look_up_changes_nothing(spark, monkeypatch):
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "mu"]
+    mem = memory(spark, entities=[ent(i, f"E{i}") for i in range(1, 4)], observations=[
+        obs(i, i % 3 + 1, " ".join(words[(i * k) % 11] + "x" * (i % 2) for k in range(1, 5)))
+        for i in range(1, 300)])
+    asked = queries(spark, (" ".join(words), 20), (" ".join(reversed(words)) + " nowhere", 3), ("amm et", 5))
+    columns = ("query_id", "rank", "obs_id", "channels", "composite_score")
+    want = sorted(values(search.recall(asked, mem, NOW, 12), *columns))
+    monkeypatch.setattr(search, "STAGED_FROM", 0)
+    monkeypatch.setattr(search, "EARLY_STEPS", 2)
+    assert sorted(values(search.recall(asked, mem, NOW, 12), *columns)) == want
+    assert len(want) == 28
+
+
 def test_touch_counts_each_return_of_a_visible_row(spark):
     mem = memory(spark, entities=[ent(1, "A")],
                  observations=[obs(1, 1, "x"), obs(2, 1, "y", deleted_at=NOW), obs(3, 1, "z")])
