@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,8 +66,12 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     return materialize(prepared, "queries")
 
 
+@lru_cache(maxsize=32)
 def most_hits(prepared: DataFrame) -> int:
-    """The largest number of hits any query of the batch takes from a channel."""
+    """The largest number of hits any query of the batch takes from a channel.
+
+    One small job per batch; the channels of a search share the answer.
+    """
     return prepared.agg(F.max("collect")).first()[0] or 1
 
 
