@@ -21,7 +21,7 @@ from factfade.session import materialize
 ROOM = 1024
 OPEN_BINS = 2048
 #: Pieces that one task packs, about: what a task leaves open at its end is wasted.
-TASK_PIECES = 250_000
+TASK_PIECES = 100_000
 
 
 class BestFit:
@@ -137,7 +137,6 @@ def pack_documents(
     """
     cut_pieces = materialize(pieces(docs, tokenizer, end_id, room), "pieces")
     tasks = max(1, -(-cut_pieces.count() // task_pieces))
-    tasks = max(tasks, min(4, docs.sparkSession.sparkContext.defaultParallelism))
     dealt = cut_pieces.repartition(
         tasks, F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
     )
