@@ -19,6 +19,47 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one with control strings, formatted and read back."""
+    from factfade.llm.chat import format_windows, read_back
+
+    said = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        "role", "text",
+    )
+    more = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id long, turn long, role string, text string",
+    )
+    windows = format_windows(rows.unionByName(more), vocabulary("byte_bpe_50k.json"))
+    return read_back(windows)
+
+
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and their likeness."""
+    from factfade.llm.spotsigs import compare_edits
+
+    return compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the one that stays; the lower half of the ids is the history."""
+    from factfade.llm.exact import deduplicate, split_by_age
+
+    history, arriving = split_by_age(table(spark, sf_dir, "documents"))
+    return deduplicate(history, arriving).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256"
+    )
+
+
+OP3_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written as Simple-8b files and read back."""
     from factfade.llm.simple8b import documents_of, write_ids
@@ -27,6 +68,35 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_of(write_ids(docs, vocabulary("word_bpe_49k.json"), end_id=2))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned outside the held-out quarter."""
+    from factfade.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of every document."""
+    from factfade.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).taken()
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of all documents and the component of each."""
+    from factfade.llm.simhash import hex_fingerprint, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned outside the held-out fifth."""
+    from factfade.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     from factfade.llm.packing import pack_documents
@@ -35,9 +105,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=2, room=1024)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts in all documents."""
+    from factfade.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "op4_token_ids": op4_token_ids,
-    "op9_packing": op9_packing,
+    f.__name__: f
+    for f in (
+        op1_chat_windows, op2_spotsigs, op3_exact_dedup, op4_token_ids, op5_toxicity, op6_mixing,
+        op7_simhash, op8_quality, op9_packing, op10_license_scan,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
