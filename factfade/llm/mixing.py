@@ -27,11 +27,12 @@ ROUNDS = 16
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): the number of words, 0 for NULL text."""
+    """(doc_id, source, text_hash, size): the number of words, 0 for NULL text."""
     words = F.regexp_count(F.col("text").cast("string"), F.lit(WORD)).cast("long")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"), F.coalesce(words, F.lit(0)).alias("size"),
+        F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"),
+        F.coalesce(words, F.lit(0)).alias("size"),
     )
 
 
@@ -178,6 +179,49 @@ class Mix:
             "doc_id", "size", "source_size", "target", "taken"
         )
 
+    def documents(self, docs: DataFrame) -> DataFrame:
+        """The mix as rows like ``docs``: what the drawn blocks hold of each document.
+
+        A document taken whole keeps its text; else its drawn words are joined by a
+        space.  One whose blocks are drawn twice gives a row for each pass.  Documents
+        without words are in no block.  ``n_chars``, where there is one, follows the text.
+        """
+        key = ["source_no", "start", "doc_id", "size", "text_hash"]
+        ranges = (
+            self.segments().filter("uses > 0")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))))
+            .groupBy(*key, "copy")
+            .agg(F.array_sort(F.collect_list(F.struct(
+                (F.col("low") - F.col("start") + 1).cast("int").alias("first"),
+                (F.col("high") - F.col("low")).cast("int").alias("n"),
+            ))).alias("ranges"))
+            .join(self.sources.select("source_no", "source"), "source_no")
+        )
+        drawn = ranges.select(
+            F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"),
+            F.col("text_hash").alias("_mix_hash"), F.col("size").alias("_mix_size"),
+            F.col("ranges").alias("_mix_ranges"),
+        )
+        rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+        rows = rows.dropDuplicates(["doc_id", "source", "_text_hash"])
+        joined = rows.join(
+            drawn,
+            F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id"))
+            & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
+            & (F.col("_text_hash") == F.col("_mix_hash")),
+        )
+        words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+        parts = F.transform("_mix_ranges", lambda r: F.slice(words, r["first"], r["n"]))
+        got = F.aggregate("_mix_ranges", F.lit(0), lambda n, r: n + r["n"])
+        text = F.when(got == F.col("_mix_size"), F.col("text")).otherwise(
+            F.array_join(F.flatten(parts), " ")
+        )
+        out = joined.withColumn("text", text).select(*docs.columns)
+        if "n_chars" in docs.columns:
+            kind = docs.schema["n_chars"].dataType
+            out = out.withColumn("n_chars", F.char_length("text").cast(kind))
+        return out
+
 
 def mix(
     docs: DataFrame, seed: int = 20, block_words: int = BLOCK_WORDS,
@@ -187,7 +231,7 @@ def mix(
     """Choose the blocks of ``docs`` (doc_id, text, source) that the mix takes.
 
     NULL text has no words; NULL is a source of its own, ordered last.  Documents of
-    a source lie in order of doc_id (NULL first), equal ids by size; repeated rows
+    a source lie in order of doc_id (NULL first), size and a hash of the text; repeated rows
     are documents of their own.  A text of any length is a run of blocks.  An empty
     table gives an empty mix; other columns are not read.
     """
@@ -196,10 +240,10 @@ def mix(
     numbered = sizes.join(
         sources.select("source_no", F.col("source").alias("_s")),
         F.col("source").eqNullSafe(F.col("_s")),
-    ).select("doc_id", "source_no", "size")
+    ).select("doc_id", "source_no", "text_hash", "size")
     placed = running_before(
-        numbered, ["source_no"], [F.col("doc_id").asc_nulls_first(), F.col("size")],
-        {"start": "size"},
+        numbered, ["source_no"],
+        [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_hash")], {"start": "size"},
     )
     plan = sources.withColumn(
         "blocks", F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")

@@ -64,7 +64,10 @@ def simhash(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number; NULL text counts as empty."""
+    """(doc_id, text_hash, fp): the fingerprint is a signed 64-bit number.
+
+    NULL text counts as empty; ``text_hash`` tells rows of one doc_id apart.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,12 +75,15 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             for _, some in text_slices(batch.column("text").to_pylist()):
                 out += [simhash(t, size) for t in some]
             fp = pa.array(np.array(out, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), fp], ["doc_id", "text_hash", "fp"]
+            )
 
     texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.xxhash64("text").alias("text_hash"),
     )
-    return texts.mapInArrow(hashed, "doc_id long, fp long")
+    return texts.mapInArrow(hashed, "doc_id long, text_hash long, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -288,9 +294,10 @@ def links(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) of every document (doc_id, text).
+    """doc_id, text_hash, fp, label and component_id of every document (doc_id, text).
 
-    ``component_id`` is the smallest doc_id that can be reached over links of at most
+    ``label`` is the smallest fingerprint of a component and ``component_id`` the
+    smallest doc_id that can be reached over links of at most
     ``distance`` differing bits, NULL where all of them lack an id.  NULL, empty and
     blank texts have fingerprint 0, linked like any other.  Repeated rows and equal
     texts share one fingerprint, which is compared once.  An empty table gives no row;
@@ -306,8 +313,25 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     )).select(F.col("node").alias("fp"), "label")
     labelled = groups.join(linked, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    classes = labelled.join(lowest, "label").select("fp", "component_id")
-    return placed.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = labelled.join(lowest, "label").select("fp", "label", "component_id")
+    return placed.join(classes, "fp").select("doc_id", "text_hash", "fp", "label", "component_id")
+
+
+def removed(found: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of the documents that give way: all but one per component.
+
+    The smallest doc_id stays (NULL last), of equal ids the smallest ``text_hash``.
+    """
+    rank = F.struct(
+        F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("doc_id"),
+        F.col("text_hash").alias("text_hash"),
+    )
+    ranked = found.select("doc_id", "text_hash", "label", rank.alias("rank"))
+    first = ranked.groupBy("label").agg(F.min("rank").alias("first"))
+    return (
+        ranked.join(first, "label").filter(~F.col("rank").eqNullSafe(F.col("first")))
+        .select("doc_id", "text_hash").distinct()
+    )
 
 
 def hex_fingerprint(fp: Column) -> Column:
