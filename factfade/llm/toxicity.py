@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from factfade.llm.quality import labelled_sample, remainder
 from factfade.llm.words import Words, word_slices
+from factfade.session import materialize
 
 # Words that insult, in English, French, Spanish and German.
 INSULTS = frozenset(
@@ -282,10 +283,11 @@ class ToxicityModel:
         learn: Column | None = None, rows: int = SAMPLE_ROWS,
     ) -> "ToxicityModel":
         """Learn from at most ``rows`` labelled documents: 2/5 for the lexicon, 2/5 for
-        the trees, 1/5 for the calibration.  Without labels the fixed list alone counts.
+        the trees, 1/5 for the calibration; the lexicon that scores is then learned
+        from all of them.  Without labels the fixed list alone counts.
         """
         learn = F.lit(True) if learn is None else learn
-        sample = labelled_sample(docs, labels, label, learn, rows)
+        sample = materialize(labelled_sample(docs, labels, label, learn, rows), "labelled")
         part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))
         lexicon = learn_lexicon(sample.filter(part < 2))
         width = len(FEATURES)
@@ -312,7 +314,7 @@ class ToxicityModel:
         if not len(found):
             trees.base = -3.0
         calibration = Isotonic().fit(trees.log_odds(x[last]), y[last]) if last.any() else Isotonic()
-        return cls(lexicon, trees, calibration)
+        return cls(learn_lexicon(sample), trees, calibration)
 
     def score_texts(self, texts: list[str | None]) -> np.ndarray:
         return self.calibration(self.trees.log_odds(features(texts, self.lexicon)))
