@@ -24,8 +24,6 @@ SAME_ENTITY = "exact_duplicate_same_entity"
 PROPOSED, APPLIED = "proposed", "applied"
 DEFAULT_SINCE_DAYS = 30
 DEFAULT_MIN_OBS = 2
-DEFAULT_ENTITIES = 50
-MOST_ENTITIES = 900
 
 
 class CleanupRefused(RuntimeError):
@@ -45,14 +43,17 @@ class Proposal:
 
 def entity_signals(
     mem: Memory, as_of, since_days: float = DEFAULT_SINCE_DAYS, min_obs: int = DEFAULT_MIN_OBS,
-    max_entities: int = DEFAULT_ENTITIES,
+    max_entities: int | None = None,
 ) -> DataFrame:
-    """Entities with enough visible rows and a recent one, latest first."""
+    """Entities with enough visible rows and a recent one.
+
+    All of them, or the latest ``max_entities``; then ``left_out`` says how many more
+    there were (0 without a bound).
+    """
     since_days = DEFAULT_SINCE_DAYS if since_days <= 0 else since_days
     min_obs = DEFAULT_MIN_OBS if min_obs <= 0 else min_obs
-    max_entities = DEFAULT_ENTITIES if max_entities <= 0 else max_entities
-    if max_entities > MOST_ENTITIES:
-        raise ValueError(f"at most {MOST_ENTITIES} entities per run, not {max_entities}")
+    if max_entities is not None and max_entities <= 0:
+        raise ValueError("a bound on entities must be positive")
     cutoff = F.timestamp_add("SECOND", F.lit(-int(since_days * 86400)), at(as_of))
     counts = (
         live_observations(mem, as_of)
@@ -67,11 +68,14 @@ def entity_signals(
     names = mem.entities.select(
         F.col("id").alias("entity_id"), F.col("name").alias("entity_name"), "entity_type"
     )
-    return (
-        counts.orderBy(F.desc("last_at"), F.desc("entity_id")).limit(max_entities)
-        .join(names, "entity_id")
-        .orderBy(F.desc("last_at"), F.desc("entity_id"))
-    )
+    if max_entities is None:
+        chosen = counts.withColumn("left_out", F.lit(0).cast("long"))
+    else:
+        counts = materialize(counts, "signals")
+        chosen = counts.orderBy(F.desc("last_at"), F.desc("entity_id")).limit(max_entities)
+        left_out = max(0, counts.count() - max_entities)
+        chosen = chosen.withColumn("left_out", F.lit(left_out).cast("long"))
+    return chosen.join(names, "entity_id")
 
 
 def digest(content: Column) -> Column:
@@ -139,11 +143,11 @@ def proposal_violations(mem: Memory, proposal: Proposal, as_of) -> DataFrame:
     )
     source = live.withColumnRenamed("id", "source_id")
     reason = (
-        F.when(F.col("source_id") == F.col("target_id"), "self-supersession")
-        .when(F.col("target_entity").isNull(), "target is not active")
-        .when(F.col("entity_id").isNull(), "source is not active")
-        .when(F.col("entity_id") != F.col("target_entity"), "entity mismatch")
-        .when(F.col("digest") != F.col("target_digest"), "content mismatch")
+        F.when(F.col("source_id") == F.col("target_id"), "a row cannot replace itself")
+        .when(F.col("target_entity").isNull(), "the kept row is no longer visible")
+        .when(F.col("entity_id").isNull(), "the replaced row is no longer visible")
+        .when(F.col("entity_id") != F.col("target_entity"), "rows of different entities")
+        .when(F.col("digest") != F.col("target_digest"), "contents differ")
     )
     return (
         pairs.join(target, "target_id", "left").join(source, "source_id", "left")
@@ -285,7 +289,7 @@ def rollback_violations(mem: Memory, run_id: int, as_of) -> DataFrame:
         digest(F.col("content")).alias("target_digest"),
     )
     target = (
-        F.when(F.col("target_entity").isNull(), "target is not active")
+        F.when(F.col("target_entity").isNull(), "the kept row is no longer visible")
         .when(F.col("entity_id") != F.col("target_entity"), "target entity")
         .when(F.col("target_digest") != digest(F.col("content_snapshot")), "target content")
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factfade.functions.text import trim_white, truncate_ellipsis
@@ -26,7 +26,6 @@ from factfade.session import at, materialize
 
 # Default bounds of one report.
 THRESHOLD = 0.92
-MAX_EMBEDDINGS = 500
 CHUNK = 64
 MAX_OBSERVATIONS = 200
 MAX_PAIRS = 100
@@ -127,15 +126,16 @@ def encode_vectors(df: DataFrame) -> DataFrame:
 
 def embed_missing(
     misses: DataFrame, embed: Callable[[list[str]], list[list[float]]], dimensions: int,
-    chunk: int = CHUNK, max_embeddings: int = MAX_EMBEDDINGS,
+    chunk: int = CHUNK, max_embeddings: int | None = None,
 ) -> DataFrame:
     """Vectors (obs_id, embedding) of uncached rows by a user function on lists of texts.
 
-    Fails before anything is written if too many rows are uncached or an answer is
-    wrong in number, dimension or value.
+    Fails before anything is written if an answer is wrong in number, dimension or
+    value, or if more than ``max_embeddings`` rows (where given) are uncached.
     """
-    needed = misses.select("obs_id").limit(max_embeddings + 1).count()
-    if needed > max_embeddings:
+    if max_embeddings is not None and (
+        misses.select("obs_id").limit(max_embeddings + 1).count() > max_embeddings
+    ):
         raise EmbeddingError(f"more than {max_embeddings} uncached embeddings are needed")
     chunked = number_rows(misses.select("obs_id", "content"), [F.col("obs_id")], "_no").withColumn(
         "chunk", F.floor((F.col("_no") - 1) / chunk)
@@ -312,14 +312,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def _grouped(candidates: DataFrame) -> DataFrame:
     """Candidates with the entity they are clustered under: its id, else name and type."""
-    by_name = F.concat(
-        F.lit("entity-name:"), trim_white(F.col("entity_name")), F.lit("\x00"),
-        F.coalesce(trim_white(F.col("entity_type")), F.lit("")),
-    )
-    by_id = F.concat(F.lit("entity-id:"), F.col("entity_id").cast("string"))
-    return candidates.withColumn(
-        "grp", F.when(F.coalesce("entity_id", F.lit(0)) != 0, by_id).otherwise(by_name)
-    )
+    known = F.coalesce(F.col("entity_id"), F.lit(0)).cast("long")
+
+    def unless_known(name: str) -> Column:
+        text = F.coalesce(trim_white(F.col(name)), F.lit(""))
+        return F.when(known == 0, text).otherwise(F.lit("")).alias(name)
+
+    grp = F.struct(known.alias("id"), unless_known("entity_name"), unless_known("entity_type"))
+    return candidates.withColumn("grp", grp)
 
 
 def cluster_hint(target, source):
@@ -385,7 +385,7 @@ def cluster_stats(candidates: DataFrame, members: DataFrame) -> DataFrame:
 
 def semantic_report(
     mem: Memory, embed: Callable[[list[str]], list[list[float]]], key: CacheKey, as_of,
-    threshold: float = THRESHOLD, max_embeddings: int = MAX_EMBEDDINGS, chunk: int = CHUNK,
+    threshold: float = THRESHOLD, max_embeddings: int | None = None, chunk: int = CHUNK,
     max_obs: int = MAX_OBSERVATIONS, max_pairs: int = MAX_PAIRS, scope: str = "global", **options,
 ) -> dict:
     """All of the above for one scope.  Only the embedding cache changes.

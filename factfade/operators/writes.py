@@ -50,9 +50,9 @@ def fact_problems(facts: DataFrame, keys: list[str]) -> DataFrame:
     return _rejects(
         facts, keys,
         [
-            _problem("entity", is_blank(F.col("entity")), "must be non-empty"),
-            _problem("observation", is_blank(F.col("observation")), "must be non-empty"),
-            _problem("confidence", outside, "must be between 0.0 and 1.0"),
+            _problem("entity", is_blank(F.col("entity")), "is blank"),
+            _problem("observation", is_blank(F.col("observation")), "is blank"),
+            _problem("confidence", outside, "lies outside 0 to 1"),
         ],
     )
 
@@ -73,11 +73,11 @@ def validate_relations(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges that may be written, and the rejects.  Both ends must differ."""
     same = F.lower(trim_white(F.col("from"))) == F.lower(trim_white(F.col("to")))
     problems = [
-        _problem(name, is_blank(F.col(name)), "must be non-empty")
+        _problem(name, is_blank(F.col(name)), "is blank")
         for name in ("from", "to", "relation_type")
     ]
     blank = reduce(lambda a, b: a | b, [is_blank(F.col(n)) for n in ("from", "to", "relation_type")])
-    problems.append(_problem("to", ~blank & same, "from and to must be different"))
+    problems.append(_problem("to", ~blank & same, "both ends are the same"))
     rejects = _rejects(edges, ["seq"], problems)
     return edges.join(rejects.select("seq").distinct(), "seq", "left_anti"), rejects
 
@@ -276,7 +276,7 @@ def remember_event(mem: Memory, events: DataFrame, facts: DataFrame, as_of) -> W
     problems = _rejects(
         events, ["event_no"],
         [
-            _problem("label", is_blank(F.col("label")), "must be non-empty"),
+            _problem("label", is_blank(F.col("label")), "is blank"),
             _problem("expires_at", given & ends.isNull(), "not a timestamp"),
         ],
     ).select("event_no")

@@ -232,15 +232,15 @@ def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REQUESTS = """
-req AS (SELECT doc_id % 7 AS req_id, doc_id AS pos, (doc_id * 13) % 1500 - 20 AS id FROM documents)"""
+req AS (SELECT doc_id % 7 AS req_id, doc_id AS pos,
+        (doc_id * 13) % (SELECT max(doc_id) + 42 FROM documents) - 20 AS id FROM documents)"""
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document asks for some id; ids repeat, are missing or not positive."""
-    d = F.col("doc_id")
-    return inputs.table(spark, sf_dir, "documents").select(
-        (d % 7).alias("req_id"), d.alias("pos"), ((d * 13) % 1500 - 20).alias("id")
-    )
+    d, docs = F.col("doc_id"), inputs.table(spark, sf_dir, "documents")
+    span = docs.agg(F.max("doc_id") + 42).scalar()
+    return docs.select((d % 7).alias("req_id"), d.alias("pos"), ((d * 13) % span - 20).alias("id"))
 
 
 @query(

@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of them.
+
+    As a pattern the path may name either; a plain path would have to be a folder.
+    """
+    return configure(spark).readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of texts spread over the cores.
 

@@ -49,7 +49,7 @@ def sanitize_args(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     head = F.lit('{"content":null,"context":["x"],"label":{"a":1},')
     calls = inputs.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.concat(head, F.substring(args, 2, 10_000_000)).alias("args")
+        "conv_id", "turn", F.concat(head, F.regexp_replace(args, r"^\{", "")).alias("args")
     )
     both = usage.sanitize_args(
         usage.sanitize_args(calls, "args").withColumnRenamed("args_summary", "open"), "args", True
@@ -186,10 +186,7 @@ HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10
 def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a stream; buckets the watermark has passed are final."""
     batch = inputs.table(spark, sf_dir, "events")
-    arriving = (
-        spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
+    arriving = inputs.arriving(spark, sf_dir, "events", batch.schema)
     out, checkpoint = scratch_path(spark, "usage"), scratch_path(spark, "stream")
     counts = stream_counts(inputs.calls_of(arriving))
     (

@@ -278,7 +278,7 @@ def embed_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     misses = inputs.table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("obs_id"), F.col("text").alias("content")
     )
-    made = similarity.embed_missing(misses, letter_counts, 9, max_embeddings=10_000_000)
+    made = similarity.embed_missing(misses, letter_counts, 9)
     total = F.aggregate(
         F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x
     )
@@ -335,7 +335,7 @@ def semantic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     mem = inputs.lang_memory(spark, sf_dir).with_tables(embeddings=cache)
     report = similarity.semantic_report(
         mem, letter_counts, similarity.CacheKey("local", "letters", "count", 9), AS_OF,
-        threshold=_REPORT_THRESHOLD, max_embeddings=1000,
+        threshold=_REPORT_THRESHOLD,
     )
     return report["candidates"].groupBy("entity_name").agg(
         F.count(F.lit(1)).alias("pairs"), F.max("pairs_found").alias("pairs_found"),

@@ -50,9 +50,9 @@ SELECT obs_id AS id, entity_id, observation AS content, 'user' AS source, {num('
 @query(
     "valid_facts",
     memory("turn", "m_facts") + """
-SELECT batch_id, seq, concat('facts[', seq, '].confidence') AS field, 'must be between 0.0 and 1.0' AS reason
+SELECT batch_id, seq, concat('facts[', seq, '].confidence') AS field, 'lies outside 0 to 1' AS reason
 FROM m_facts WHERE confidence > 1
-UNION ALL SELECT batch_id, seq, concat('facts[', seq, '].observation'), 'must be non-empty' FROM m_facts WHERE trim(observation) = ''
+UNION ALL SELECT batch_id, seq, concat('facts[', seq, '].observation'), 'is blank' FROM m_facts WHERE trim(observation) = ''
 UNION ALL SELECT batch_id, seq, concat('facts[', seq, '].event_id'), 'event not found or expired'
 FROM m_facts WHERE event_id IS NOT NULL AND event_id NOT IN (SELECT id FROM lev)
   AND batch_id NOT IN (SELECT batch_id FROM m_facts WHERE confidence > 1 OR trim(observation) = '')""",
@@ -299,10 +299,7 @@ def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     mem = inputs.memory(spark, sf_dir)
     store.publish(spark, root, "global", mem)
     batch = inputs.table(spark, sf_dir, "conversations")
-    arriving = (
-        spark.readStream.schema(batch.schema).option("pathGlobFilter", "conversations.parquet")
-        .parquet(sf_dir)
-    )
+    arriving = inputs.arriving(spark, sf_dir, "conversations", batch.schema)
     for _ in range(2):
         ingest_stream(inputs.facts_of(arriving), root, checkpoint, AS_OF).awaitTermination()
     before = mem.observations.select("id")

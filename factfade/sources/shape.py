@@ -75,7 +75,7 @@ def route_scope(df: DataFrame, home: str, project: str = "project") -> DataFrame
     and relative paths are taken from ``home``.
     """
     p = F.col(project)
-    below = F.when(p.rlike(r"^~[/\\]"), F.substring(p, 3, 1_000_000)).otherwise(p)
+    below = F.when(p.rlike(r"^~[/\\]"), F.regexp_replace(p, r"^..", "")).otherwise(p)
     path = (
         F.when(p.startswith("/"), p)
         .when(p == "~", F.lit(home))

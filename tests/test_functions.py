@@ -4,6 +4,7 @@ from build import NOW, ago, values
 from pyspark.sql import functions as F
 
 from factfade.functions import privacy, scoring, text, times, vectors
+from factfade.session import configure
 
 
 def one(spark, column, **inputs):
@@ -78,6 +79,10 @@ def test_summaries_hold_no_content(spark):
     strict = one(spark, privacy.sanitize_args(F.col("c"), True), c=args)
     assert '"query":"sha256:' in strict and "secret" not in strict
     assert one(spark, privacy.sanitize_args(F.col("c")), c="no json") is None
+    configure(spark)  # of a repeated key the last value counts
+    twice, last = '{"entity":"a","entity":"b"}', '{"entity":"b"}'
+    assert one(spark, privacy.sanitize_args(F.col("c")), c=last) == last
+    assert one(spark, privacy.sanitize_args(F.col("c")), c=twice) == last
     result = '{"results":[{"a":1}],"total_facts":1,"found":null,"note":"secret","events":3}'
     assert one(spark, privacy.summarize_result(F.col("c")), c=result) == (
         '{"entity_groups":1,"found":null,"total_facts":1}')
