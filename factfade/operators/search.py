@@ -408,12 +408,14 @@ def score_candidates(
 
     ``keep`` is (key, keep).  A key has no more candidates than its cap.
     """
-    everyone = Window.partitionBy(key)
+    # Counted beside the ranking: a window over the whole key would need all its rows
+    # in one task, while the ranking alone drops rows inside each task.
+    texts = hydrated.groupBy(key).agg(F.count("fts_pos").alias("with_text"))
     order = Window.partitionBy(key).orderBy(
         F.desc("composite_score"), F.desc("confidence"), "obs_id"
     )
     return (
-        hydrated.withColumn("with_text", F.count("fts_pos").over(everyone))
+        hydrated.join(texts, key)
         .withColumn(
             "confidence",
             decayed_confidence(
