@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from factfade.model import Write
 from factfade.operators import cleanup, integrity, views, writes
 from factfade.sources import shape, store
 from factfade.streaming.ingest import ingest_stream
@@ -141,7 +142,7 @@ def test_proposals_look_at_the_given_instant(spark):
 
 def test_too_many_entities(spark):
     with pytest.raises(ValueError):
-        cleanup.entity_signals(copies(spark), NOW, max_entities=901)
+        cleanup.entity_signals(copies(spark), NOW, max_entities=0)
 
 
 def state(mem):
@@ -226,6 +227,69 @@ def test_a_replayed_stream_adds_nothing(spark, tmp_path):
     assert sorted(values(store.load_memory(spark, root).observations, "id", "content")) == [(1, "x"), (2, "y")]
 
 
+def test_a_failed_publish_can_be_repeated(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    mem = memory(spark, entities=[ent(1, "A")])
+    calls, shaped = [], store._shaped
+
+    def breaking(df, table):
+        calls.append(table)
+        if len(calls) == 3:
+            raise OSError("disk")
+        return shaped(df, table)
+
+    monkeypatch.setattr(store, "_shaped", breaking)
+    with pytest.raises(OSError):
+        store.publish(spark, root, "global", mem)
+    with pytest.raises(store.StoreError):
+        store.load_memory(spark, root)
+    assert store.publish(spark, root, "global", mem) == 1
+    assert values(store.load_memory(spark, root).entities, "id") == [(1,)]
+    for _ in range(2):
+        assert store.snapshot_export(mem, str(tmp_path / "copy"), NOW).count() > 0
+
+
+def test_of_two_writers_of_a_version_one_wins(spark, tmp_path):
+    root = str(tmp_path)
+    present = store.read_manifest(spark, root, "global")
+    one = store.Manifest(present.version + 1, {"entities": ["entities/a"]}, {})
+    assert store._commit(spark, root, "global", one) == 1
+    with pytest.raises(store.StoreError):
+        store._commit(spark, root, "global", store.Manifest(1, {"entities": ["entities/b"]}, {}))
+    assert store.read_manifest(spark, root, "global") == one
+    assert [n for n in store._manifests(spark, root, "global").names() if "draft" in n] == []
+
+
+def test_the_manifest_stays_small_over_many_batches(spark, tmp_path):
+    root = str(tmp_path)
+    store.publish(spark, root, "global", memory(spark))
+    none = store.load_memory(spark, root)
+    for k in range(200):
+        change = Write(memory=none, result=none.entities)
+        store.publish(spark, root, "global", change, batch=f"stream#{k}")
+    manifest = store.read_manifest(spark, root, "global")
+    assert manifest.version == 201 and manifest.batches == {"stream": 199}
+    assert store.publish(spark, root, "global", change, batch="stream#5") == 201
+    for k in range(4):
+        grown = Write(memory=none, result=none.entities, appended={"entities": memory(spark, entities=[ent(k, f"E{k}")]).entities})
+        store.publish(spark, root, "global", grown, batch=f"stream#{200 + k}")
+    assert store.compact(spark, root, most=3) == 206 == store.compact(spark, root, most=3)
+    assert len(store.read_manifest(spark, root, "global").tables["entities"]) == 1
+    assert sorted(values(store.load_memory(spark, root).entities, "id")) == [(k,) for k in range(4)]
+
+
+@pytest.mark.parametrize("name", ["usage_stream", "ingest_stream"])
+def test_streams_read_tables_that_are_folders(spark, tmp_path, name):
+    from factfade.plans import all_queries
+
+    source = "/root/testdata/sf0.001"
+    for table in ("events", "conversations", "documents"):
+        df = spark.read.parquet(f"{source}/{table}.parquet")
+        df.repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    query = all_queries()[name]
+    assert query(spark, str(tmp_path)).count() == query(spark, source).count() > 0
+
+
 def test_old_tables_are_brought_up(spark):
     old = spark.createDataFrame([(1, "A")], "id long, name string")
     new = shape.conform_schema(old, "entities", NOW)
