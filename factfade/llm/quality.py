@@ -24,7 +24,8 @@ BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 SAMPLE_ROWS = 2500
 VECTOR = 12
-EPOCHS = 5
+#: Documents that training looks at, in as many rounds over the sample as it takes.
+STEPS = 10_000
 RATE = 0.5
 #: The step of the vectors against that of the layer: shares are small numbers.
 _SCALE = 20.0
@@ -65,16 +66,16 @@ def document_features(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndar
 
 def train(
     features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets: int = BUCKETS,
-    size: int = VECTOR, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1,
+    size: int = VECTOR, steps: int = STEPS, rate: float = RATE, seed: int = 1,
 ) -> tuple[np.ndarray, float]:
     """(number per bucket, bias): log-odds of label 1 are bias plus the mean number."""
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((buckets, size)) - 0.5) / size).astype(np.float32)
     layer = np.zeros((2, size), np.float32)
     bias = np.zeros(2, np.float32)
-    steps, done = max(1, epochs * len(features)), 0
-    for _ in range(epochs):
-        for k in rng.permutation(len(features)):
+    done = 0
+    while features and done < steps:
+        for k in rng.permutation(len(features))[: steps - done]:
             found, count = features[k]
             now = rate * (1 - done / steps)
             done += 1
