@@ -137,7 +137,8 @@ def pack_documents(
     """
     cut_pieces = materialize(pieces(docs, tokenizer, end_id, room), "pieces")
     tasks = max(1, -(-cut_pieces.count() // task_pieces))
-    dealt = cut_pieces.repartition(
-        tasks, F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
+    lot = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
+    dealt = cut_pieces.repartition(tasks, lot).sortWithinPartitions(
+        lot, "doc_id", "piece", "ids_crc32"  # the same arrivals in every run
     )
     return pack(dealt, room, open_bins)
