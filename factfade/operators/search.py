@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factfade.functions.privacy import hash_identifier
 from factfade.functions.scoring import (
     COLLECT_FACTOR,
     MAX_RESULTS,
@@ -25,6 +27,7 @@ from factfade.functions.text import (
     trim_white,
 )
 from factfade.model import Memory
+from factfade.operators.ordering import number_rows
 from factfade.operators.substrings import (
     has_many,
     lowest_ids,
@@ -66,13 +69,18 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     return materialize(prepared, "queries")
 
 
-@lru_cache(maxsize=32)
+_MOST: "WeakKeyDictionary[DataFrame, int]" = WeakKeyDictionary()
+
+
 def most_hits(prepared: DataFrame) -> int:
     """The largest number of hits any query of the batch takes from a channel.
 
-    One small job per batch; the channels of a search share the answer.
+    One small job per batch; the channels of a search share the answer, which is kept
+    no longer than the batch itself.
     """
-    return prepared.agg(F.max("collect")).first()[0] or 1
+    if prepared not in _MOST:
+        _MOST[prepared] = prepared.agg(F.max("collect")).first()[0] or 1
+    return _MOST[prepared]
 
 
 def _phrase_of(c: Column) -> Column:
@@ -481,8 +489,15 @@ def score_stats(queries: DataFrame, candidates: DataFrame, ranked: DataFrame) ->
     )
 
 
-def search_metrics(queries: DataFrame, candidates: DataFrame, ranked: DataFrame) -> DataFrame:
-    """``score_stats`` with the channel counts as a map."""
+def search_metrics(
+    queries: DataFrame, candidates: DataFrame, ranked: DataFrame, compact: bool = False,
+    strict: bool = False,
+) -> DataFrame:
+    """The log row of each query: ``score_stats`` and the channel counts as a map.
+
+    ``strict`` keeps a hash in place of the query.  A batch search fails as a whole or
+    not at all, so ``fts_query_errors`` is 0.
+    """
     channels = channel_counts(candidates).groupBy("query_id").agg(
         F.map_from_entries(
             F.array_sort(F.collect_list(F.struct("channel", "candidates")))
@@ -492,6 +507,9 @@ def search_metrics(queries: DataFrame, candidates: DataFrame, ranked: DataFrame)
     return (
         score_stats(queries, candidates, ranked).join(channels, "query_id", "left")
         .withColumn("channels", F.coalesce("channels", empty))
+        .withColumn("query", hash_identifier(F.col("query"), strict))
+        .withColumn("fts_query_errors", F.lit(0).cast("long"))
+        .withColumn("compact", F.lit(compact))
     )
 
 
@@ -548,19 +566,24 @@ def touch(mem: Memory, returned: DataFrame, as_of) -> DataFrame:
 
 
 def text_match_ids(queries: DataFrame, mem: Memory, as_of) -> DataFrame:
-    """All visible rows with any term of a query, best text rank first: no limit.
+    """All visible rows with any term of a query: no limit.
 
-    The order is carried by ``text_rank`` (lower is better) and obs_id; a position
-    per query would put all its rows into one task.
+    ``pos`` numbers the rows of a query from 1 by ``text_rank`` (lower is better), then
+    id.  All rows are numbered together over ranges, so no query is one task.
     """
     asked = queries.select(
         "query_id", F.lit(0).alias("collect"), query_terms(F.col("text")).alias("clean")
     )
     terms = term_phrases(asked)
     weights = text_weights(phrase_hits(mem, as_of, terms.select("phrase").distinct()))
-    return (
+    ranked = materialize(
         terms.join(weights, "phrase")
         .groupBy("query_id", "obs_id")
-        .agg(F.round(-F.sum(F.col("weight") * F.col("times")), 9).alias("text_rank"))
-        .orderBy("query_id", "text_rank", "obs_id")
+        .agg(F.round(-F.sum(F.col("weight") * F.col("times")), 9).alias("text_rank")),
+        "text-ranks",
+    )
+    numbered = number_rows(ranked, [F.col(c) for c in ("query_id", "text_rank", "obs_id")], "no")
+    first = numbered.groupBy("query_id").agg(F.min("no").alias("first"))
+    return numbered.join(first, "query_id").select(
+        "query_id", "obs_id", "text_rank", (F.col("no") - F.col("first") + 1).alias("pos")
     )

@@ -235,9 +235,6 @@ def semantic_candidates(
         best.join(facts_of("target"), "target_obs_id")
         .join(facts_of("source").drop("source_entity_type"), "source_obs_id")
         .withColumnRenamed("target_entity_type", "entity_type")
-        .orderBy(
-            F.desc("similarity"), "entity_name", F.desc("target_obs_id"), F.desc("source_obs_id")
-        )
     )
 
 

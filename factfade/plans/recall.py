@@ -181,15 +181,21 @@ def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "search_metrics",
-    oracle_search.recall() + """
-SELECT m.query_id, (SELECT count(*) FROM cand c WHERE c.query_id = m.query_id) AS candidates_total,
+    oracle_search.recall() + f"""
+SELECT m.query_id, mode, CASE WHEN mode = 'open' OR t = '' THEN t ELSE concat('sha256:', sha256(t)) END AS query,
+  0 AS fts_query_errors, mode = 'strict' AS compact,
+  (SELECT count(*) FROM cand c WHERE c.query_id = m.query_id) AS candidates_total,
   coalesce((SELECT string_agg(concat(channel, '=', n), ',' ORDER BY channel) FROM (
      SELECT query_id, channel, count(DISTINCT obs_id) AS n FROM kept GROUP BY query_id, channel) k
      WHERE k.query_id = m.query_id), '') AS channels
-FROM m_queries m""",
+FROM (SELECT m.*, {oracle_search.trimmed('m.text')} AS t FROM m_queries m) m, (VALUES ('open'), ('strict')) v(mode)""",
 )
 def search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = search.search_metrics(*_searched(spark, sf_dir))
+    """The log rows in both modes: open, and strict with compact results."""
+    searched = _searched(spark, sf_dir)
+    metrics = search.search_metrics(*searched).withColumn("mode", F.lit("open")).unionByName(
+        search.search_metrics(*searched, compact=True, strict=True).withColumn("mode", F.lit("strict"))
+    )
     shown = F.array_join(
         F.transform(
             F.map_entries("channels"),
@@ -197,7 +203,10 @@ def search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         ",",
     )
-    return metrics.select("query_id", "candidates_total", shown.alias("channels"))
+    return metrics.select(
+        "query_id", "mode", "query", "fts_query_errors", "compact", "candidates_total",
+        shown.alias("channels"),
+    )
 
 
 @query(
@@ -247,8 +256,9 @@ def touch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "text_match_ids",
     oracle_search.text_only() + """
-SELECT query_id, wgt.obs_id, round(round(-sum(weight * times), 9), 6) AS text_rank
-FROM tp JOIN wgt ON wgt.phrase = tp.phrase GROUP BY query_id, wgt.obs_id""",
+SELECT query_id, obs_id, round(r, 6) AS text_rank, row_number() OVER (PARTITION BY query_id ORDER BY r, obs_id) AS pos
+FROM (SELECT query_id, wgt.obs_id, round(-sum(weight * times), 9) AS r
+      FROM tp JOIN wgt ON wgt.phrase = tp.phrase GROUP BY query_id, wgt.obs_id) x""",
 )
 def text_match_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.text_match_ids(
