@@ -29,10 +29,11 @@ ANCHORS = (
 BUCKET_DOCUMENTS = 500
 MOST_BUCKETS = 8192
 
-_ANY = "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))
-_BETWEEN = f"(?:(?:{_ANY}) )*+"
-_SPOT = f"(?<= )(?=((?:{_ANY}) {_BETWEEN}[^ ]+ {_BETWEEN}[^ ]+) )"
-_COMMON_INSIDE = f"(?<= )(?:(?:{_ANY}) )+"
+# Patterns loop over single characters only: a long run of common words must neither
+# deepen the matcher's stack nor be read once for each of its words.
+_ANCHOR, _CONTENT = "\x01", "\x02"
+_MARK_ANCHORS = f"(?<= )({'|'.join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))})(?= )"
+_MARK_CONTENT = f"(?<= )([^ {_ANCHOR}][^ ]*)"
 _RUN = "(?<= )(?=([^ ]+ [^ ]+ [^ ]+) )"
 
 
@@ -42,23 +43,51 @@ def words_of(text: Column) -> Column:
 
 
 def with_spots(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the sorted set of hashed spots of column ``text`` (not NULL)."""
-    words = f"_{name}_words"
-    found = f"_{name}_found"
+    """Adds the sorted set of hashed spots of column ``text`` (not NULL).
+
+    The words are cut into chunks, each a run of anchors and the content words up to
+    the next anchor.  All anchors of a chunk share the same two content words: the
+    first two of the chunk, or its only one and the first of the next chunk.
+    """
+    words, chunks, firsts, follows, found = (
+        f"_{name}_{x}" for x in ("words", "chunks", "firsts", "follows", "found")
+    )
     df = df.withColumn(words, words_of(F.col(text)))
-    df = df.withColumn(found, F.regexp_extract_all(F.col(words), F.lit(_SPOT), F.lit(1)))
+    marked = F.regexp_replace(
+        F.regexp_replace(F.col(words), _MARK_ANCHORS, f"{_ANCHOR}$1"), _MARK_CONTENT, f"$1{_CONTENT}"
+    )
+    df = df.withColumn(chunks, F.split(marked, f"(?<={_CONTENT} )(?={_ANCHOR})"))
+    df = df.withColumn(
+        firsts,
+        F.transform(chunks, lambda c: F.regexp_extract(c, f"([^ {_ANCHOR}]+){_CONTENT}", 1)),
+    )
+
+    def following(chunk: Column, at: Column) -> Column:
+        second = F.regexp_extract(chunk, f"{_CONTENT} ([^ ]+){_CONTENT}", 1)
+        return F.concat_ws(
+            " ", F.get(F.col(firsts), at),
+            F.coalesce(F.nullif(second, F.lit("")), F.get(F.col(firsts), at + 1)),
+        )
+
+    df = df.withColumn(follows, F.transform(chunks, following))
+
+    def of_chunk(chunk: Column, at: Column) -> Column:
+        anchors = F.array_distinct(F.filter(F.split(chunk, " "), lambda w: F.startswith(w, F.lit(_ANCHOR))))
+        follow = F.get(F.col(follows), at)
+        return F.transform(anchors, lambda w: F.when(F.contains(follow, F.lit(" ")), F.xxhash64(w, follow)))
+
+    # The last chunk may lack its second content word, or the next one has none.
+    spots = F.filter(F.flatten(F.transform(chunks, of_chunk)), lambda h: h.isNotNull())
+    df = df.withColumn(found, spots)
     runs = F.regexp_extract_all(F.col(words), F.lit(_RUN), F.lit(1))
     short = F.when(F.col(words) == " ", F.concat(F.lit("\x00"), F.col(text))).otherwise(F.col(words))
-    spots = F.when(
-        F.size(found) > 0,
-        F.transform(found, lambda s: F.xxhash64(F.regexp_replace(s, _COMMON_INSIDE, ""))),
-    ).otherwise(
+    spots = F.when(F.size(found) > 0, F.col(found)).otherwise(
         F.when(F.length(words) > 0, F.transform(runs, lambda s: F.xxhash64(s)))
     )
     spots = F.when(F.size(spots) > 0, spots).otherwise(F.array(F.xxhash64(short)))
     # 40 bits per spot keep the fingerprint short; ten hexadecimal digits each.
     kept = F.array_sort(F.array_distinct(F.transform(spots, lambda h: F.shiftrightunsigned(h, 24))))
-    return df.withColumn(name, kept).drop(words, found)
+    return df.withColumn(name, kept).drop(words, chunks, firsts, follows, found)
 
 
 def fingerprint(spots: Column) -> Column:
