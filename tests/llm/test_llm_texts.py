@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factfade.llm import licenses, quality, spotsigs, toxicity
 from factfade.llm.words import Words
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"  # a tenth holds too few toxic texts of some languages to learn from
 ANCHORS = set(spotsigs.ANCHORS)
 
 
@@ -128,7 +128,7 @@ def test_held_out_accuracy(spark, operator, label, folds, held):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds == held) for r in found)
     out = [r for r in found if r["held_out"]]
     assert len(out) > 50 and {r[label] for r in out} == {0, 1}
-    assert sum(r["predicted"] == r[label] for r in out) >= 0.95 * len(out)
+    assert sum(r["predicted"] == r[label] for r in out) >= 0.97 * len(out)
 
 
 @pytest.mark.parametrize("operator, label", [(quality, "quality"), (toxicity, "toxic")])
