@@ -51,8 +51,6 @@ ALWAYS_RUN = 3
 
 # Steps of a term channel that are looked up before it is known whether later ones run.
 EARLY_STEPS = 8
-# Batches with fewer steps than this are looked up in one go.
-STAGED_FROM = 50_000
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -265,7 +263,7 @@ def content_hits_while_room(
     steps: DataFrame, before: DataFrame, caps: DataFrame, rows: DataFrame, most: int, number,
     groups: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Content hits of the steps that can still count, large batches in two stages.
+    """Content hits of the steps that can still count, in two stages.
 
     A long text has many terms, but once its list is full no later term runs.  The
     first few terms are looked up for everyone, the others only for texts whose
@@ -279,9 +277,6 @@ def content_hits_while_room(
         .withColumn("nth", F.row_number().over(order)),
         "steps",
     )
-    if steps.count() < STAGED_FROM:
-        steps = steps.drop("nth")
-        return number(steps, lowest_ids_containing(rows, steps, most, groups))
     heads = word_heads(rows, most, groups) if has_many(steps) else None
 
     def look_up(asked: DataFrame) -> DataFrame:

@@ -119,7 +119,6 @@ def test_staged_look_up_changes_nothing(spark, monkeypatch):
     asked = queries(spark, (" ".join(words), 20), (" ".join(reversed(words)) + " nowhere", 3), ("amm et", 5))
     columns = ("query_id", "rank", "obs_id", "channels", "composite_score")
     want = sorted(values(search.recall(asked, mem, NOW, 12), *columns))
-    monkeypatch.setattr(search, "STAGED_FROM", 0)
     monkeypatch.setattr(search, "EARLY_STEPS", 2)
     assert sorted(values(search.recall(asked, mem, NOW, 12), *columns)) == want
     assert len(want) == 28
