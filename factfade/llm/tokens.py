@@ -7,6 +7,8 @@ the ids of its pieces.  What a worker keeps of them is bounded.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 from array import array
@@ -21,15 +23,19 @@ _ODD = re.compile(
 _WORDS = re.compile(r"\s*\S+|\s+")
 #: White space to Python but not to the tokenizers: such texts are never cut.
 _UNSURE = re.compile("[\x1c-\x1f]")
-_SIGNS = frozenset(".,;:!?")
-_LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A letter and an ASCII sign behind it are always cut apart.
+_SIGNED = re.compile(rf"(.*[{_LETTERS}])([!-/:-@\[-^`{{-~]+)", re.S)
+_SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~")
+_LETTERS_ALONE = re.compile(f"[{_LETTERS}]+")
+_ONLY_LETTERS = re.compile(rf"\n?[{_LETTERS}]+")
 
 #: A piece after this mark stands for itself, any other one has a space before it
 #: unless it begins with a line feed.
 _AS_IS = "\x1c"
 
 #: Pieces of one generation; a worker keeps two generations at most.
-KEPT_PIECES = 350_000
+KEPT_PIECES = 450_000
 LONGEST_KEPT = 48
 SLICE_CHARS = 1 << 20
 
@@ -50,6 +56,18 @@ def _spelled(piece: str) -> str:
     return piece if piece[:1] == "\n" else " " + piece
 
 
+def _byte_signs() -> dict[int, str]:
+    """The public byte-level rule: printable bytes stand for themselves, the others for
+    the characters from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_SIGN_OF_BYTE = _byte_signs()
+_PROBES = ("the", "of", "xqzvwy", "straße", "élan", "ñandú")
+
+
 class _Encoder:
     """Ids of pieces; a piece not met during a whole generation is forgotten."""
 
@@ -59,40 +77,79 @@ class _Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings are ordinary text
+        normal = json.loads(self.library.to_str()).get("normalizer") or {}
+        steps = normal.get("normalizers", [normal])
+        #: Words in capitals, or after a line feed, have the ids of the plain word.
+        self.folds = any(s.get("type") == "Lowercase" for s in steps) and any(
+            s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " " for s in steps
+        )
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # A word of letters is one unit to the tokenizer: its model alone, without the
+        # steps before it, gives the same ids several times faster.
+        self.model = self.library.model
+        self.before = "" if self.folds else _SIGN_OF_BYTE[32]
+        self.direct = all(
+            self._of_model(p) == self.library.encode(" " + p, add_special_tokens=False).ids
+            for p in _PROBES
+        )
 
-    def ids(self, pieces: set[str]) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
-        young, old, missing = self.young, self.old, []
-        for piece in pieces:
-            known = young.get(piece)
-            if known is None:
-                known = old.get(piece)
-                if known is None:
-                    missing.append(piece)
-                    continue
-                if len(young) <= KEPT_PIECES:
-                    young[piece] = known
-            found[piece] = known
-        # A letter and the sign behind it are always cut apart.
-        signed = [p for p in missing if p[-1:] in _SIGNS and len(p) > 2 and _LETTER.match(p[-2])]
-        needed = set(missing)
-        needed.difference_update(signed)
-        needed.update([p[:-1] for p in signed])
-        needed.update([_AS_IS + p[-1] for p in signed])
-        asked = [p for p in needed if p not in found]
+    def _of_model(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_SIGN_OF_BYTE)
+        return [token.id for token in self.model.tokenize(self.before + word)]
+
+    def begin(self) -> dict[str, bytes]:
+        """The young generation, a new one if it is full."""
+        if len(self.young) > KEPT_PIECES:
+            self.old, self.young = self.young, {}
+        return self.young
+
+    def learn(self, missing: set[str]) -> None:
+        """Put pieces into the young generation, those of the old one included."""
+        young, old, folds = self.young, self.old, self.folds
+        asked: list[str] = []
+        joined = []
+        for piece in missing:
+            known = old.get(piece)
+            if known is not None:
+                young[piece] = known
+                continue
+            stem, sign = piece, None
+            if piece[-1:] in _SIGNS and (match := _SIGNED.fullmatch(piece)):
+                stem, sign = match[1], _AS_IS + match[2]
+            if folds and (stem[:1] == "\n" or stem != stem.lower()) and _ONLY_LETTERS.fullmatch(stem):
+                stem = stem.lstrip("\n").lower()
+            if stem is piece:
+                asked.append(piece)
+                continue
+            joined.append((piece, stem, sign))
+            for part in (stem,) if sign is None else (stem, sign):
+                if part not in young and part not in missing:
+                    known = old.get(part)
+                    if known is None:
+                        asked.append(part)
+                        known = b""  # asked for once
+                    young[part] = known
+        others = asked
+        if self.direct:
+            others = []
+            for part in asked:
+                if _LETTERS_ALONE.fullmatch(part):
+                    young[part] = array("I", self._of_model(part)).tobytes()
+                else:
+                    others.append(part)
         made = self.library.encode_batch_fast(
-            [_spelled(p) for p in asked], add_special_tokens=False
+            [_spelled(p) for p in others], add_special_tokens=False
+        )
+        young.update(
+            [(p, array("I", e.ids).tobytes()) for p, e in zip(others, made, strict=True)]
         )
-        new = {p: array("I", e.ids).tobytes() for p, e in zip(asked, made, strict=True)}
-        found.update(new)
-        for p in signed:
-            new[p] = found[p] = found[p[:-1]] + found[_AS_IS + p[-1]]
-        if len(young) + len(new) > KEPT_PIECES:
-            self.old, self.young = young, {}
-        self.young.update([x for x in new.items() if len(x[0]) <= LONGEST_KEPT])
-        return found
+        for piece, stem, sign in joined:  # a stem or sign is never joined itself
+            young[piece] = young[stem] if sign is None else young[stem] + young[sign]
+        for part in asked:
+            if len(part) > LONGEST_KEPT and part not in missing:
+                del young[part]
 
 
 @lru_cache(maxsize=4)
@@ -102,9 +159,38 @@ def encoder(path: str) -> _Encoder:
 
 def encode_bytes(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
-    cut = [_pieces(t) for t in texts]
-    get = encoder(path).ids(set().union(*cut)).__getitem__
-    return [b"".join(map(get, pieces)) for pieces in cut]
+    collecting = gc.isenabled()
+    gc.disable()  # long lists of pieces hold no cycles, and searching them costs much
+    try:
+        return _encode(encoder(path), texts)
+    finally:
+        if collecting:
+            gc.enable()
+
+
+def _encode(known: _Encoder, texts: list[str]) -> list[bytes]:
+    young, join = known.begin(), b"".join
+    out: list[bytes | None] = []
+    missing: set[str] = set()
+    open_ = []
+    for k, text in enumerate(texts):
+        pieces = _pieces(text)
+        parts = list(map(young.get, pieces))
+        try:
+            out.append(join(parts))
+        except TypeError:  # some piece is not known
+            out.append(None)
+            open_.append((k, pieces, parts))
+            missing.update([p for p, ids in zip(pieces, parts, strict=True) if ids is None])
+    if missing:
+        known.learn(missing)
+        for k, pieces, parts in open_:
+            out[k] = join(
+                [young[p] if ids is None else ids for p, ids in zip(pieces, parts, strict=True)]
+            )
+        for piece in [p for p in missing if len(p) > LONGEST_KEPT]:
+            del young[piece]
+    return out
 
 
 def text_slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:

@@ -28,6 +28,15 @@ def test_pieces_give_the_ids_of_the_whole_text(path):
     assert encode_bytes(path, HARD) == [library(path, t) for t in HARD]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abdehlnorstzABÀÉßéñöü"), min_size=1, max_size=14), max_size=6))
+def test_words_of_letters_give_the_ids_of_the_library(words):
+    for path in (WORDS, BYTES):
+        assert encoder(path).direct
+        text = " ".join(words)
+        assert encode_bytes(path, [text]) == [library(path, text)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab Z.'\n\t é1_!中́"), max_size=30), max_size=4))
 def test_any_text_gives_the_ids_of_the_library(texts):
