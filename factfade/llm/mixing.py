@@ -187,20 +187,19 @@ class Mix:
         without words are in no block.  ``n_chars``, where there is one, follows the text.
         """
         key = ["source_no", "start", "doc_id", "size", "text_hash"]
-        ranges = (
-            self.segments().filter("uses > 0")
-            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("uses"))))
-            .groupBy(*key, "copy")
-            .agg(F.array_sort(F.collect_list(F.struct(
-                (F.col("low") - F.col("start") + 1).cast("int").alias("first"),
-                (F.col("high") - F.col("low")).cast("int").alias("n"),
-            ))).alias("ranges"))
+        drawn = (
+            self.segments().groupBy(*key)
+            .agg(F.array_sort(F.collect_list(F.struct("block", "uses"))).alias("blocks"))
+            .withColumn("block_uses", F.transform("blocks", lambda b: b["uses"]))
+            .withColumn("most", F.array_max("block_uses")).filter("most > 0")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
             .join(self.sources.select("source_no", "source"), "source_no")
-        )
-        drawn = ranges.select(
-            F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"),
-            F.col("text_hash").alias("_mix_hash"), F.col("size").alias("_mix_size"),
-            F.col("ranges").alias("_mix_ranges"),
+            .select(
+                F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"),
+                F.col("text_hash").alias("_mix_hash"), F.col("block_uses").alias("_mix_uses"),
+                F.col("copy").alias("_mix_copy"),
+                F.pmod("start", F.lit(self.block_words)).alias("_mix_offset"),
+            )
         )
         rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
         rows = rows.dropDuplicates(["doc_id", "source", "_text_hash"])
@@ -210,12 +209,15 @@ class Mix:
             & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
             & (F.col("_text_hash") == F.col("_mix_hash")),
         )
-        words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-        parts = F.transform("_mix_ranges", lambda r: F.slice(words, r["first"], r["n"]))
-        got = F.aggregate("_mix_ranges", F.lit(0), lambda n, r: n + r["n"])
-        text = F.when(got == F.col("_mix_size"), F.col("text")).otherwise(
-            F.array_join(F.flatten(parts), " ")
-        )
+
+        def drawn_word(_: Column, place: Column) -> Column:
+            block = F.floor((F.col("_mix_offset") + place) / F.lit(self.block_words)).cast("int")
+            return F.get(F.col("_mix_uses"), block) >= F.col("_mix_copy")
+
+        # The words are cut once per row, as the argument of the filter.
+        words = F.filter(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), drawn_word)
+        whole = F.forall("_mix_uses", lambda uses: uses >= F.col("_mix_copy"))
+        text = F.when(whole, F.col("text")).otherwise(F.array_join(words, " "))
         out = joined.withColumn("text", text).select(*docs.columns)
         if "n_chars" in docs.columns:
             kind = docs.schema["n_chars"].dataType
