@@ -380,6 +380,22 @@ def cluster_stats(candidates: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(sizes, "cluster")
 
 
+def _report_vectors(
+    rows: DataFrame, mem: Memory, embed: Callable[[list[str]], list[list[float]]], key: CacheKey,
+    max_embeddings: int | None, chunk: int,
+) -> tuple[DataFrame, DataFrame, int]:
+    """Vectors of all given rows, those made for it, and how many were cached."""
+    hits = embedding_hits(rows, mem.embeddings, key)
+    spoiled = hits.select(vector_problem(F.col("embedding"), key.dimensions).alias("reason")).filter(
+        F.col("reason").isNotNull()
+    ).first()
+    if spoiled is not None:
+        raise EmbeddingError(f"unusable vector in the cache: {spoiled['reason']}")
+    misses = embedding_misses(rows, mem.embeddings, key)
+    made = embed_missing(misses, embed, key.dimensions, chunk, max_embeddings)
+    return hits.select("obs_id", "embedding").unionByName(made), made, hits.count()
+
+
 def semantic_report(
     mem: Memory, embed: Callable[[list[str]], list[list[float]]], key: CacheKey, as_of,
     threshold: float = THRESHOLD, max_embeddings: int | None = None, chunk: int = CHUNK,
@@ -396,16 +412,8 @@ def semantic_report(
     rows = selected_rows(mem, as_of, signals)
     kept, counts = cap_newest(rows, max_obs)
     kept = materialize(kept.drop("age"), "kept")
-    hits = embedding_hits(kept, mem.embeddings, key)
-    spoiled = hits.select(vector_problem(F.col("embedding"), key.dimensions).alias("reason")).filter(
-        F.col("reason").isNotNull()
-    ).first()
-    if spoiled is not None:
-        raise EmbeddingError(f"unusable vector in the cache: {spoiled['reason']}")
-    misses = embedding_misses(kept, mem.embeddings, key)
-    made = embed_missing(misses, embed, key.dimensions, chunk, max_embeddings)
-    n_hits, n_made = hits.count(), made.count()
-    vectors = hits.select("obs_id", "embedding").unionByName(made)
+    vectors, made, n_hits = _report_vectors(kept, mem, embed, key, max_embeddings, chunk)
+    n_made = made.count()
     candidates = materialize(
         semantic_candidates(kept.join(vectors, "obs_id"), threshold, max_obs, max_pairs), "candidates"
     )
@@ -417,3 +425,26 @@ def semantic_report(
         "limits": entity_limits(counts, candidates), "clusters": clusters, "members": members,
         "cache": upsert_embeddings(mem.embeddings, made, key, as_of),
     }
+
+
+def semantic_report_classes(
+    mem: Memory, embed: Callable[[list[str]], list[list[float]]], key: CacheKey, as_of,
+    threshold: float = THRESHOLD, max_embeddings: int | None = None, chunk: int = CHUNK,
+    scope: str = "global", **options,
+) -> dict:
+    """The report without bounds: all visible rows are embedded and dealt to classes."""
+    from factfade.operators.classes import semantic_classes
+
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    signals = materialize(entity_signals(mem, as_of, **options), "signals")
+    rows = materialize(selected_rows(mem, as_of, signals), "selected")
+    vectors, made, n_hits = _report_vectors(rows, mem, embed, key, max_embeddings, chunk)
+    n_made = made.count()
+    return {
+        "scope": scope, "as_of": as_of, "threshold": threshold, "key": key,
+        "reused": n_hits, "cached": n_made, "requests": math.ceil(n_made / chunk),
+        "mutations": 0, "signals": signals,
+        "classes": semantic_classes(rows.join(vectors, "obs_id"), threshold),
+        "cache": upsert_embeddings(mem.embeddings, made, key, as_of),
+    }

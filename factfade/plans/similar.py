@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factfade.functions import vectors
-from factfade.operators import similarity
+from factfade.operators import classes, similarity
 from factfade.plans import inputs
 from factfade.plans.cleaning import _SIGNALS
 from factfade.plans.inputs import AS_OF
@@ -341,3 +341,56 @@ def semantic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("pairs"), F.max("pairs_found").alias("pairs_found"),
         F.max("similarity").alias("max_sim"), F.min("similarity").alias("min_sim"),
     )
+
+
+# Classes by walking from every row to all it reaches, over all rows of an entity.
+_CLASSES = """
+both_ways AS (SELECT entity_id, a, b FROM edge UNION SELECT entity_id, b, a FROM edge),
+reach AS (SELECT entity_id, a AS start, a AS seen FROM both_ways
+          UNION SELECT r.entity_id, r.start, e.b FROM reach r JOIN both_ways e ON e.entity_id = r.entity_id AND e.a = r.seen),
+label AS (SELECT entity_id, start AS obs_id, min(seen) AS class_id, count(*) AS n_obs FROM reach GROUP BY entity_id, start)"""
+
+_ALL_PAIRS = only("m_embeddings").replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+unit AS (SELECT obs_id, entity_id, entity_name, CAST(embedding AS DOUBLE[]) AS v FROM m_embeddings),
+edge AS (
+  SELECT t.entity_id, t.obs_id AS a, s.obs_id AS b FROM unit t JOIN unit s
+  ON s.entity_id = t.entity_id AND t.obs_id < s.obs_id
+  WHERE list_inner_product(t.v, s.v) / (sqrt(list_inner_product(t.v, t.v)) * sqrt(list_inner_product(s.v, s.v))) >= {THRESHOLD}),"""
+
+
+@query(
+    "semantic_classes",
+    _ALL_PAIRS + _CLASSES + """
+SELECT l.entity_id, u.entity_name, l.obs_id, l.class_id, l.n_obs FROM label l JOIN unit u ON u.obs_id = l.obs_id""",
+)
+def semantic_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of each label, without the bounds of the candidates."""
+    return classes.semantic_classes(_rows(spark, sf_dir), THRESHOLD)
+
+
+_REPORT_ALL = memory("lang").replace("WITH ", "WITH RECURSIVE ", 1) + _SIGNALS + f""",
+unit AS (
+  SELECT l.id, l.entity_id, e.name AS entity_name, l.content, {_LETTERS.replace('content', 'l.content')} AS v
+  FROM liv l JOIN sig ON sig.entity_id = l.entity_id JOIN ent e ON e.id = l.entity_id),
+edge AS (
+  SELECT t.entity_id, t.id AS a, s.id AS b FROM unit t JOIN unit s
+  ON s.entity_id = t.entity_id AND t.id < s.id AND s.content <> t.content
+  WHERE list_inner_product(t.v, s.v) / (sqrt(list_inner_product(t.v, t.v)) * sqrt(list_inner_product(s.v, s.v))) >= {_REPORT_THRESHOLD}),"""
+
+
+@query(
+    "semantic_report_classes",
+    _REPORT_ALL + _CLASSES + """
+SELECT u.entity_name, l.obs_id, l.class_id, l.n_obs FROM label l JOIN unit u ON u.id = l.obs_id""",
+)
+def semantic_report_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by language, embedded by counting letters."""
+    from factfade.schemas import TABLES
+
+    cache = inputs.configure(spark).createDataFrame([], TABLES["embeddings"])
+    mem = inputs.lang_memory(spark, sf_dir).with_tables(embeddings=cache)
+    report = similarity.semantic_report_classes(
+        mem, letter_counts, similarity.CacheKey("local", "letters", "count", 9), AS_OF,
+        threshold=_REPORT_THRESHOLD,
+    )
+    return report["classes"].select("entity_name", "obs_id", "class_id", "n_obs")
