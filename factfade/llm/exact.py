@@ -78,11 +78,11 @@ def _matrix(column) -> np.ndarray:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest) per document; NULL text counts as empty, repeated rows as one."""
+    """(doc_id, digest) per row; NULL text counts as empty."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"),
         F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("digest"),
-    ).distinct()
+    )
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -153,23 +153,25 @@ def lookup(index: DataFrame, groups: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def deduplicate(history: DataFrame, arriving: DataFrame) -> DataFrame:
+def deduplicate(history: DataFrame, arriving: DataFrame, every_row: bool = False) -> DataFrame:
     """Every document of both tables (doc_id, text) with the one that stays.
 
     doc_id, keep_id (largest doc_id among equal texts), group_size, kept, historical
     (its text occurs in the history) and text_sha256.  NULL text counts as empty and
     equals empty text.  A document without doc_id gives way to any other; a repeated
-    row (same doc_id, same text) is one document and one row.  Two texts under one
-    doc_id are two documents.  Empty tables on either side are fine; other columns
-    are not read.
+    row (same doc_id, same text) is one document and one row, unless ``every_row`` asks
+    for a row, and a count in group_size, of each.  Two texts under one doc_id are two
+    documents.  Empty tables on either side are fine; other columns are not read.
     """
-    old, new = (materialize(digests(d), "digests") for d in (history, arriving))
+    rows = (digests(history), digests(arriving))
+    old, new = (materialize(d if every_row else d.distinct(), "digests") for d in rows)
     old_groups, new_groups = (materialize(_groups(d), "digest-groups") for d in (old, new))
     buckets = max(1, -(-max(old_groups.count(), new_groups.count()) // BUCKET_KEYS))
     index = materialize(build_index(old_groups, buckets), "digest-index")
     classes = lookup(index, new_groups, buckets)
     # Documents meet their class by an ordinary join, whose hot digests are split.
-    joined = old.unionByName(new).distinct().join(classes, "digest")
+    both = old.unionByName(new)
+    joined = (both if every_row else both.distinct()).join(classes, "digest")
     real = F.when(F.col("keep_id") != _NO_ID, F.col("keep_id"))
     return joined.select(
         F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"),

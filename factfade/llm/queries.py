@@ -44,12 +44,16 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with the one that stays; the lower half of the ids is the history."""
+    """All rows with the document that stays; the lower half of the ids is the history.
+
+    ``kept`` is NULL for a row without doc_id, as in the SQL.
+    """
     from factfade.llm.exact import deduplicate, split_by_age
 
     history, arriving = split_by_age(table(spark, sf_dir, "documents"))
-    return deduplicate(history, arriving).select(
-        "doc_id", "keep_id", "group_size", "kept", "text_sha256"
+    return deduplicate(history, arriving, every_row=True).select(
+        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        "text_sha256",
     )
 
 

@@ -1,10 +1,12 @@
 import hashlib
 
+import compare
+import duckdb
 import edges
 import numpy as np
 import pytest
 
-from factfade.llm import exact
+from factfade.llm import exact, queries
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 50, 5000])
@@ -57,3 +59,14 @@ def test_empty_sides(spark):
     n = some.select("doc_id", "text").distinct().count()
     assert exact.deduplicate(none, none).count() == 0
     assert exact.deduplicate(some, none).count() == exact.deduplicate(none, some).count() == n
+
+
+def test_query_equals_its_sql_on_repeated_rows_and_missing_ids(spark, tmp_path):
+    extra = [(None, "a row without an id"), (None, None), (6, None), (7, "word"), (7, "word")]
+    docs = edges.documents(spark, extra=extra, clash=False)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = compare.spark_rows(queries.op3_exact_dedup(spark, str(tmp_path)))
+    assert len(got[1]) == docs.count()
+    assert compare.difference(got, compare.duck_rows(con, queries.OP3_SQL)) is None
