@@ -4,9 +4,10 @@ Every common word (an anchor) starts a spot: the anchor and the next two content
 words, common words between them left out.  The set of hashed spots is the
 fingerprint.  A text without a spot takes all runs of three words, a shorter one its
 whole words or, without words, itself, so no set is empty and equal texts have equal
-sets.  Sets are put into partitions by their length: two sets whose lengths stand in
-the ratio r have a Jaccard similarity of at most r, so partitions too far apart are
-never compared and pairs are pruned by length before any intersection.
+sets.  A document is compared with its edited text and with its neighbour by doc_id
+only.  ``length_partition`` tells which sets could reach a Jaccard similarity by their
+length, but nothing is joined by it: a search for near copies among all documents is
+left out, so near copies elsewhere are not compared.
 """
 
 from __future__ import annotations
