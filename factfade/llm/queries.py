@@ -116,12 +116,85 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the address of every page."""
+    from factfade.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language that hold together best."""
+    from factfade.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), cut AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM pieces
+), grams AS (
+  SELECT lang, 1 AS words, unnest(w) AS phrase FROM cut
+  UNION ALL
+  SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM cut
+  UNION ALL
+  SELECT lang, 3,
+         unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  FROM cut
+), f AS (
+  SELECT lang, phrase, words, count(*) AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang
+), longer AS (
+  SELECT lang, phrase, words, a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND a >= 10
+), inside AS (
+  SELECT lang, phrase, max(a) AS in_longer FROM (
+    SELECT lang, a, w[1] || ' ' || w[2] AS phrase FROM longer WHERE words = 3
+    UNION ALL SELECT lang, a, w[2] || ' ' || w[3] FROM longer WHERE words = 3)
+  GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM longer c LEFT JOIN inside i ON c.lang = i.lang AND c.phrase = i.phrase
+  WHERE i.in_longer IS NULL OR 100 * i.in_longer < 50 * c.a
+), cuts AS (
+  SELECT lang, phrase, a, 1 AS k, w[1] AS head, array_to_string(w[2:], ' ') AS rest FROM kept
+  UNION ALL
+  SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM kept WHERE words = 3
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r,
+         ((1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head
+  JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+), weakest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM weakest WHERE nth = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared beginnings of all conversations, each rebuilt on the first of its hundred."""
+    from factfade.llm.prefixtrie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_windows, op2_spotsigs, op3_exact_dedup, op4_token_ids, op5_toxicity, op6_mixing,
-        op7_simhash, op8_quality, op9_packing, op10_license_scan,
+        op7_simhash, op8_quality, op9_packing, op10_license_scan, op11_url_filter, op12_phrases,
+        op13_prefix_trie,
     )
 }
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op12_phrases": OP12_SQL}
