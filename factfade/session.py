@@ -16,6 +16,8 @@ _RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A batch for Python ends by size as well as by rows: rows may hold long texts.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024),
     # Of a key that a JSON object repeats, the last value counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
