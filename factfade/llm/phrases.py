@@ -3,14 +3,16 @@
 The texts are dealt to ``SHARDS`` shards that are scanned in a cycle.  Words are counted
 from the first scan on.  After every scan, what has reached the threshold is noted, and a
 longer phrase is counted from the next scan on once both its parts (all words but the
-last, all but the first) have reached it.  Each phrase is counted for one full cycle
-from its start, wherever in the cycle that is, so its count is exact; a phrase that is
-never started has a part below the threshold and is below it itself.
+last, all but the first) have reached it.  Each phrase is counted for one full cycle from
+its start, wherever in the cycle that is, or until it has reached the threshold itself.
+A phrase that is never started has a part below the threshold and is below it itself.
 
-What has been reached is sent to the scans as one Bloom filter per step, of bounded
-size.  Filters never change once made, so a scan can tell at which step a phrase was
-started and when its cycle ends.  A false positive starts a phrase early and changes no
-count.
+Scans count hashes: sorted blocks of them are dealt to buckets and added up there, a
+bucket at a time, and what has not yet reached the threshold is kept for the next scan.
+What has reached it is sent to the scans as one Bloom filter per step, of bounded size.
+Filters never change once made, so a scan can tell at which step a phrase was started and
+when its cycle ends.  Equal hashes or a false positive start a phrase early and lose
+none: a closing cycle counts what passed the filters by its text, exactly.
 
 NULL texts are empty and give no words, a NULL language counts as ``und``.  Repeated rows
 and rows without id count like any other.  Texts of any length are read whole, in slices
@@ -48,10 +50,15 @@ SLICE_BYTES = 8 << 20
 HELD_BYTES = 32 << 20
 _OUT_ROWS = 1 << 17
 
-#: Bloom filters: bits per phrase, at most so many bits (32 MB), and hashes.
+#: Hashes that a bucket holds, about, and the most buckets (as shifts).
+BUCKET_SHIFT = 21
+MOST_BUCKETS_SHIFT = 20
+
+#: Bloom filters: bits per phrase, at most so many bits (32 MB), hashes, bits of a block.
 BITS_EACH = 16
 MOST_BITS = 1 << 28
 HASHES = 4
+BLOCK = 1 << 16
 NEVER = 1 << 30
 
 _BREAK = b"."
@@ -76,6 +83,7 @@ def slices(docs: DataFrame, shards: int) -> DataFrame:
     def cut(batches):
         held: dict[str, list[bytes]] = defaultdict(list)
         size: dict[str, int] = defaultdict(int)
+        all_held = 0
         number = count(TaskContext.get().partitionId())
 
         def done(lang: str) -> pa.RecordBatch:
@@ -98,10 +106,11 @@ def slices(docs: DataFrame, shards: int) -> DataFrame:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 held[lang].append(text)
                 size[lang] += len(text)
-                if size[lang] >= SLICE_BYTES:
-                    yield done(lang)
-                elif sum(size.values()) >= HELD_BYTES:
-                    yield done(max(size, key=size.get))
+                all_held += len(text)
+                if size[lang] >= SLICE_BYTES or all_held >= HELD_BYTES:
+                    most = max(size, key=size.get)
+                    all_held -= size[most]
+                    yield done(most)
         for lang in sorted(held):
             yield done(lang)
 
@@ -111,6 +120,37 @@ def slices(docs: DataFrame, shards: int) -> DataFrame:
     return materialize(made, "slices", partition_by=("shard",))
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 byte plane by byte plane: leading zeros compress away."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+_BLOCKS = "words int, bucket int, keys binary, n binary"
+
+
+def _block(words: int, bucket: int, keys: np.ndarray, n: np.ndarray) -> tuple:
+    """Ascending keys go as differences."""
+    return words, bucket, pack(np.diff(keys, prepend=keys.dtype.type(0))), pack(n)
+
+
+def _block_rows(rows: list[tuple], more: dict[str, list] | None = None) -> pa.RecordBatch:
+    words, bucket, keys, n = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_pydict({
+        "words": pa.array(words, pa.int32()), "bucket": pa.array(bucket, pa.int32()),
+        "keys": pa.array(keys, pa.binary()), "n": pa.array(n, pa.binary()), **(more or {}),
+    })
+
+
+def short(hashes: np.ndarray, shift: int) -> np.ndarray:
+    """The part of a hash that is kept: its bucket (``shift`` bits) and 32 bits more."""
+    return hashes >> np.uint64(32 - shift)
+
+
 class Reached:
     """Steps at which phrases reached the threshold: a Bloom filter for each step."""
 
@@ -120,40 +160,82 @@ class Reached:
     def last(self) -> int:
         return self.steps[-1][0] if self.steps else -1
 
-    def add(self, step: int, hashes: DataFrame) -> None:
-        """Note the phrases whose hashes (column ``h``) have reached it at ``step``."""
-        n = hashes.count()
+    def add(self, step: int, blocks: DataFrame, n: int) -> None:
+        """Note the ``n`` phrases in blocks (bucket, keys) as reached at ``step``."""
         if not n:
             return
-        bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (BITS_EACH * n - 1).bit_length()))
-        low, high = F.col("h").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("h", 32).bitwiseOR(1)
-        places = F.array(*[(low + k * high).bitwiseAND(bits - 1) for k in range(HASHES)])
-        found = (
-            hashes.select(F.explode(places).alias("at"))
-            .groupBy(F.shiftright("at", 5).cast("int").alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
-            .toArrow()  # as many rows as the filter has words, at most
+        bits = BLOCK
+        while bits < min(BITS_EACH * n, MOST_BITS):
+            bits *= 2
+
+        def place(batches):
+            for batch in batches:
+                for bucket, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    known = np.cumsum(unpack(keys).astype(np.uint64)) | np.uint64(bucket << 32)
+                    at = np.unique(np.concatenate(list(places(known, bits))).astype(np.int64))
+                    cut = np.flatnonzero(np.diff(at // BLOCK)) + 1
+                    parts = np.split(at, cut)
+                    yield pa.RecordBatch.from_pydict({
+                        "block": pa.array([int(p[0]) // BLOCK for p in parts], pa.int32()),
+                        "offsets": pa.array([(p % BLOCK).astype("<u2").tobytes() for p in parts], pa.binary()),
+                    })
+
+        def unite(batches):
+            block, seen = None, np.zeros(BLOCK, bool)
+
+            def done():
+                return pa.RecordBatch.from_pydict({
+                    "block": pa.array([block], pa.int32()),
+                    "bits": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary()),
+                })
+
+            for batch in batches:
+                for b, offsets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if b != block:
+                        if block is not None:
+                            yield done()
+                        block = b
+                        seen[:] = False
+                    seen[np.frombuffer(offsets, "<u2")] = True
+            if block is not None:
+                yield done()
+
+        placed = blocks.select("bucket", "keys").mapInArrow(place, "block int, offsets binary")
+        united = (
+            placed.repartition("block").sortWithinPartitions("block")
+            .mapInArrow(unite, "block int, bits binary")
         )
-        filter_ = np.zeros(bits // 32, np.uint32)
-        filter_[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-        self.steps.append((step, filter_))
-
-    def step_of(self, hashes: np.ndarray) -> np.ndarray:
-        """The first step whose filter has each hash, NEVER where none has."""
-        out = np.full(len(hashes), NEVER, np.int64)
-        low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
-        open_ = np.arange(len(hashes))
-        for step, filter_ in self.steps:
+        found = np.zeros((bits // BLOCK, BLOCK // 8), np.uint8)
+        for row in united.collect():  # the filter, of bounded size
+            found[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+        self.steps.append((step, found.reshape(-1)))
+
+    def step_of(self, keys: np.ndarray) -> np.ndarray:
+        """The first step whose filter has each key (``short``), NEVER where none has."""
+        out = np.full(len(keys), NEVER, np.int64)
+        open_ = np.arange(len(keys))
+        for step, found in self.steps:
             some = open_
             for k in range(HASHES):
-                at = (low[some] + np.uint64(k) * high[some]) & np.uint64(32 * len(filter_) - 1)
-                has = filter_[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)
+                at = place_no(keys[some], k, 8 * len(found))
+                has = found[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)
                 some = some[has & 1 == 1]
             out[some] = step
             open_ = open_[out[open_] == NEVER]
         return out
 
 
+def place_no(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
+    spread = mixed(keys)
+    low, high = spread & np.uint64(0xFFFFFFFF), (spread >> np.uint64(32)) | np.uint64(1)
+    return (low + np.uint64(k) * high) & np.uint64(bits - 1)
+
+
+def places(keys: np.ndarray, bits: int):
+    for k in range(HASHES):
+        yield place_no(keys, k, bits)
+
+
 def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     import xxhash
 
@@ -165,136 +247,207 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mixed(left * np.uint64(0x9E3779B97F4A7C15) + right)
 
 
-def scan(shard: DataFrame, step: int, shards: int, reached: dict[int, Reached]) -> DataFrame:
-    """(lang, phrase, words, n, h, known): counts of all phrases that are in their cycle."""
+class Slice:
+    """Words, pairs and triples of a slice, with their hashes and when they were reached.
+
+    Pairs are those of two reached words, triples those of two such pairs.
+    """
+
+    def __init__(self, lang: str, vocabulary: bytes, codes: bytes, reached, shift: int):
+        self.words = vocabulary.split(b" ")
+        self.codes = np.frombuffer(codes, "<i4")
+        self.reached, self.shift, self.size = reached, shift, len(self.words)
+        self.h1 = _word_hashes(lang, self.words)
+        self.step1 = reached[1].step_of(short(self.h1, shift))
+        self.step1[0] = NEVER  # no phrase crosses a break
+
+    def count_words(self) -> np.ndarray:
+        return np.bincount(self.codes, minlength=self.size)
+
+    def find_pairs(self) -> None:
+        known = self.step1[self.codes] < NEVER
+        self.at = np.flatnonzero(known[:-1] & known[1:])
+        a, b = self.codes[self.at].astype(np.int64), self.codes[self.at + 1]
+        self.pair, pairs = pd.factorize(a * self.size + b)
+        self.left, self.right = pairs // self.size, pairs % self.size
+        self.h2 = _joined(self.h1[self.left], self.h1[self.right])
+        self.step2 = self.reached[2].step_of(short(self.h2, self.shift))
+
+    def count_pairs(self) -> np.ndarray:
+        return np.bincount(self.pair, minlength=len(self.left))
+
+    def triples(self, wanted=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first pair, second pair, count) of triples; ``wanted`` picks by their start."""
+        next_to = np.flatnonzero(np.diff(self.at) == 1)  # pairs that share a word
+        first, second = self.pair[next_to], self.pair[next_to + 1]
+        start = np.maximum(self.step2[first], self.step2[second])
+        live = (start < NEVER) if wanted is None else wanted(start + 1)
+        first, second = first[live].astype(np.int64), second[live]
+        _, one, n = np.unique(
+            first * self.size + self.right[second], return_index=True, return_counts=True
+        )
+        return first[one], second[one], n
+
+    def h3(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return _joined(self.h2[first], self.h1[self.right[second]])
+
+
+def _each_slice(batches, reached, shift):
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield row[0], Slice(*row, reached, shift)
+
+
+def scan(shard: DataFrame, step: int, shards: int, reached: dict[int, Reached], shift: int) -> DataFrame:
+    """Blocks of counts of the phrases that are in their cycle and not yet reached."""
     sent = shard.sparkSession.sparkContext.broadcast(reached)
 
     def in_cycle(start):
         return (start <= step) & (step < start + shards)
 
-    def counted(lang, vocabulary, codes):
-        words = vocabulary.split(b" ")
-        size = len(words)
-        texts = pa.array(words, pa.binary())
-        h1 = _word_hashes(lang, words)
-        word_step = sent.value[1].step_of(h1)
-        word_step[0] = NEVER  # no phrase crosses a break
+    def counted(part: Slice):
         if step < shards:
-            n = np.bincount(codes, minlength=size)
-            yield 1, texts[1:], n[1:], h1[1:], word_step[1:] < step
-        a, b = codes[:-1].astype(np.int64), codes[1:].astype(np.int64)
-        start = np.maximum(word_step[a], word_step[b]) + 1
-        at = np.flatnonzero(start <= step)  # words whose pair has been started
-        pair, pairs = pd.factorize(a[at] * size + b[at])
-        left, right = pairs // size, pairs % size
-        h2 = _joined(h1[left], h1[right])
-        pair_step = sent.value[2].step_of(h2)
-        two = pc.binary_join_element_wise(texts.take(left), texts.take(right), b" ")
-        live = np.flatnonzero(in_cycle(np.maximum(word_step[left], word_step[right]) + 1))
-        n = np.bincount(pair, minlength=len(pairs))
-        yield 2, two.take(live), n[live], h2[live], pair_step[live] < step
-        if not sent.value[2].steps:
+            live = np.flatnonzero(part.step1[1:] >= step) + 1
+            yield 1, part.h1[live], part.count_words()[live]
+        if not sent.value[1].steps:
             return
-        next_to = np.flatnonzero(np.diff(at) == 1)  # pairs that share a word
-        first, second = pair[next_to], pair[next_to + 1]
-        live = in_cycle(np.maximum(pair_step[first], pair_step[second]) + 1)
-        first, second = first[live], second[live]
-        _, triples, n = np.unique(
-            first.astype(np.int64) * size + right[second], return_index=True, return_counts=True
-        )
-        first, last = first[triples], right[second[triples]]
-        three = pc.binary_join_element_wise(two.take(first), texts.take(last), b" ")
-        yield 3, three, n, _joined(h2[first], h1[last]), np.zeros(len(n), bool)
+        part.find_pairs()
+        start = np.maximum(part.step1[part.left], part.step1[part.right]) + 1
+        live = np.flatnonzero(in_cycle(start) & (part.step2 >= step))
+        yield 2, part.h2[live], part.count_pairs()[live]
+        if sent.value[2].steps:
+            first, second, n = part.triples(in_cycle)
+            yield 3, part.h3(first, second), n
 
     def run(batches):
-        for batch in batches:
-            for lang, vocabulary, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                codes = np.frombuffer(codes, "<i4")
-                for words, phrase, n, h, known in counted(lang, vocabulary, codes):
-                    if not len(n):
-                        continue
-                    whole = pa.RecordBatch.from_arrays(
-                        [
-                            pa.repeat(pa.scalar(lang, pa.string()), len(n)), phrase,
-                            pa.repeat(pa.scalar(words, pa.int32()), len(n)),
-                            pa.array(n.astype(np.int64)), pa.array(h.view(np.int64)), pa.array(known),
-                        ],
-                        ["lang", "phrase", "words", "n", "h", "known"],
-                    )
-                    for first in range(0, len(n), _OUT_ROWS):
-                        yield whole.slice(first, _OUT_ROWS)
-
-    made = shard.select("lang", "vocabulary", "codes").mapInArrow(
-        run, "lang string, phrase binary, words int, n long, h long, known boolean"
-    )
+        for _, part in _each_slice(batches, sent.value, shift):
+            for words, hashes, n in counted(part):
+                keys = short(hashes, shift)
+                order = np.argsort(keys)
+                keys, n = keys[order], n[order]
+                buckets = (keys >> np.uint64(32)).astype(np.int64)
+                low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                cut = np.flatnonzero(np.diff(buckets)) + 1
+                bounds = [0, *cut.tolist(), len(keys)]
+                yield _block_rows([
+                    _block(words, int(buckets[i]), low[i:j], n[i:j])
+                    for i, j in zip(bounds, bounds[1:]) if i < j
+                ])
+
+    made = shard.select("lang", "vocabulary", "codes").mapInArrow(run, _BLOCKS)
     return materialize(made, f"scan-{step}")
 
 
-def newly_reached(scans: list[DataFrame], words: int, least: int) -> DataFrame:
-    """Hashes that reach the threshold with the last of the scans."""
-    now = len(scans) - 1
-    rows = None
-    for step, found in enumerate(scans):
-        part = found.filter((F.col("words") == words) & ~F.col("known")).select(
-            "h", "n", F.lit(step).alias("step")
-        )
-        rows = part if rows is None else rows.unionByName(part)
-    before = F.sum(F.when(F.col("step") < now, F.col("n")).otherwise(0))
-    sums = rows.groupBy("h").agg(F.sum("n").alias("n"), before.alias("before"))
-    return materialize(
-        sums.filter((F.col("n") >= least) & (F.col("before") < least)).select("h"), "reached"
+def add_up(blocks: DataFrame, least: int) -> DataFrame:
+    """Blocks per bucket: keys with their sums, apart by whether they have reached it."""
+
+    def merge(batches):
+        key, keys, counts = None, [], []
+
+        def done():
+            known, where = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.bincount(where, weights=np.concatenate(counts)).astype(np.int64)
+            full = sums >= least
+            kinds = [k for k in (False, True) if (full == k).any()]
+            rows = [_block(*key, known[full == k], sums[full == k]) for k in kinds]
+            return _block_rows(rows, {
+                "full": pa.array(kinds, pa.bool_()),
+                "size": pa.array([int((full == k).sum()) for k in kinds], pa.int64()),
+            })
+
+        for batch in batches:
+            for words, bucket, some, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (words, bucket) != key:
+                    if key is not None:
+                        yield done()
+                    key, keys, counts = (words, bucket), [], []
+                keys.append(np.cumsum(unpack(some), dtype=np.uint32))
+                counts.append(unpack(n))
+        if key is not None:
+            yield done()
+
+    return (
+        blocks.select("words", "bucket", "keys", "n")
+        .repartition("words", "bucket").sortWithinPartitions("words", "bucket")
+        .mapInArrow(merge, f"{_BLOCKS}, full boolean, size long")
     )
 
 
-def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """((lang, phrase, words, n) of all phrases with n >= least, (lang, n) of all words)."""
-    table = slices(docs, shards)
+def _note(reached: dict[int, Reached], step: int, sums: DataFrame) -> None:
+    full = sums.filter("full")
+    sizes = {r["words"]: r["n"] for r in full.groupBy("words").agg(F.sum("size").alias("n")).collect()}
+    for words, n in sizes.items():
+        reached[words].add(step, full.filter(F.col("words") == words), n)
+
+
+def find_phrases(table: DataFrame, least: int, shards: int, shift: int) -> dict[int, Reached]:
+    """Filters that hold every phrase with ``least`` occurrences or more."""
     reached = {k: Reached() for k in range(1, LONGEST + 1)}
     scans: list[DataFrame] = []
+    waiting = None  # sums of words and pairs that have not reached it
     while (step := len(scans)) < shards or step <= max(reached[k].last() for k in (1, 2)) + shards:
-        scans.append(scan(table.filter(F.col("shard") == step % shards), step, shards, reached))
-        for words in (1, 2):
-            # After a cycle without a new part, nothing longer is being counted.
-            if step < shards if words == 1 else step <= reached[1].last() + shards:
-                reached[words].add(step, newly_reached(scans, words, least))
-    reached[LONGEST].add(
-        len(scans), _all_reached(scans, LONGEST, least)
-    )
-    # Only what the filters hold can have the count: the rest is never grouped by text.
-    sent = docs.sparkSession.sparkContext.broadcast(reached)
-
-    @F.pandas_udf("boolean")
-    def may_count(words: pd.Series, h: pd.Series) -> pd.Series:
-        hashes = h.to_numpy().view(np.uint64)
-        kinds = words.to_numpy()
-        out = np.zeros(len(h), bool)
-        for k, found in sent.value.items():
-            of_kind = kinds == k
-            out[of_kind] = found.step_of(hashes[of_kind]) < NEVER
-        return pd.Series(out)
-
-    rows = scans[0]
+        shard = table.filter(F.col("shard") == step % shards)
+        scans.append(scan(shard, step, shards, reached, shift))
+        if step < shards or step <= reached[1].last() + shards:  # pairs are in their cycle
+            blocks = scans[-1].filter(F.col("words") < LONGEST)
+            if waiting is not None:
+                blocks = blocks.unionByName(waiting.select("words", "bucket", "keys", "n"))
+            sums = materialize(add_up(blocks, least), f"sums-{step}")
+            _note(reached, step, sums)
+            # Words are done after one cycle.
+            waiting = sums.filter(~F.col("full") & (F.col("words") > (1 if step >= shards - 1 else 0)))
+    longest = scans[0]
     for found in scans[1:]:
-        rows = rows.unionByName(found)
+        longest = longest.unionByName(found)
+    longest = materialize(add_up(longest.filter(F.col("words") == LONGEST), least), "sums-longest")
+    _note(reached, len(scans), longest)
+    return reached
+
+
+def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """((lang, phrase, words, n) of all phrases with n >= least, (lang, n) of all words)."""
+    table = slices(docs, shards)
+    total = table.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    n_words = total.agg(F.sum("n")).first()[0] or 0
+    shift = min(MOST_BUCKETS_SHIFT, max(4, int(n_words).bit_length() - BUCKET_SHIFT))
+    sent = docs.sparkSession.sparkContext.broadcast(find_phrases(table, least, shards, shift))
+
+    def named(lang: str, part: Slice):
+        texts = pa.array(part.words, pa.binary())
+        live = np.flatnonzero(part.step1 < NEVER)
+        yield 1, texts.take(live), part.count_words()[live]
+        part.find_pairs()
+        two = pc.binary_join_element_wise(texts.take(part.left), texts.take(part.right), b" ")
+        live = np.flatnonzero(part.step2 < NEVER)
+        yield 2, two.take(live), part.count_pairs()[live]
+        first, second, n = part.triples()
+        live = np.flatnonzero(sent.value[3].step_of(short(part.h3(first, second), shift)) < NEVER)
+        last = texts.take(part.right[second[live]])
+        yield 3, pc.binary_join_element_wise(two.take(first[live]), last, b" "), n[live]
+
+    def run(batches):
+        for lang, part in _each_slice(batches, sent.value, shift):
+            for words, phrase, n in named(lang, part):
+                whole = pa.RecordBatch.from_arrays(
+                    [
+                        pa.repeat(pa.scalar(lang, pa.string()), len(n)), phrase,
+                        pa.repeat(pa.scalar(words, pa.int32()), len(n)), pa.array(n.astype(np.int64)),
+                    ],
+                    ["lang", "phrase", "words", "n"],
+                )
+                for first in range(0, len(n), _OUT_ROWS):
+                    yield whole.slice(first, _OUT_ROWS)
+
     phrases = (
-        rows.filter(may_count("words", "h"))
+        table.select("lang", "vocabulary", "codes")
+        .mapInArrow(run, "lang string, phrase binary, words int, n long")
         .groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= least)
         .withColumn("phrase", F.col("phrase").cast("string"))
     )
-    total = table.groupBy("lang").agg(F.sum("n_words").alias("n"))
     return materialize(phrases, "phrases"), total
 
 
-def _all_reached(scans: list[DataFrame], words: int, least: int) -> DataFrame:
-    rows = None
-    for found in scans:
-        part = found.filter(F.col("words") == words).select("h", "n")
-        rows = part if rows is None else rows.unionByName(part)
-    sums = rows.groupBy("h").agg(F.sum("n").alias("n"))
-    return materialize(sums.filter(F.col("n") >= least).select("h"), "reached")
-
-
 def collocations(
     docs: DataFrame, least: int = LEAST, most: int = MOST, shards: int = SHARDS
 ) -> DataFrame:

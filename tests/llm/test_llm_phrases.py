@@ -94,14 +94,32 @@ def test_edge_tables(spark):
 
 
 def test_filters_hold_what_was_added(spark):
-    hashes = np.random.default_rng(3).integers(-(2**63), 2**63, 3000)
+    """Blocks of counts: sums, reached keys and the filters made of them."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**36, 3000, dtype=np.uint64))
+    rows = []
+    for times, some in ((1, keys), (1, keys[::2]), (300, keys[::3])):
+        for bucket in range(16):
+            own = some[some >> np.uint64(32) == bucket]
+            if len(own):
+                low = (own & np.uint64(2**32 - 1)).astype(np.uint32)
+                rows.append(phrases._block(2, bucket, low, np.full(len(low), times)))
+    blocks = spark.createDataFrame(rows, phrases._BLOCKS).repartition(5)
+    sums = phrases.add_up(blocks, 2)
+    want = np.ones(len(keys), int)
+    want[::2] += 1
+    want[::3] += 300
+    got = {}
+    for r in sums.collect():
+        low = np.cumsum(phrases.unpack(r["keys"]), dtype=np.uint32).astype(np.uint64)
+        n = phrases.unpack(r["n"])
+        assert r["size"] == len(n) and ((n >= 2) == r["full"]).all()
+        got |= dict(zip((low | np.uint64(r["bucket"] << 32)).tolist(), n.tolist()))
+    assert got == dict(zip(keys.tolist(), want.tolist()))
     reached = phrases.Reached()
-    for step in (2, 5):
-        part = [(int(h),) for h in hashes[:1000] if step == 2] or [(int(h),) for h in hashes[1000:2000]]
-        reached.add(step, spark.createDataFrame(part, "h long"))
-    steps = reached.step_of(hashes.view(np.uint64))
-    assert (steps[:1000] == 2).all() and (steps[1000:2000] <= 5).all()
-    assert (steps[2000:] < phrases.NEVER).mean() < 0.02
+    reached.add(4, sums.filter("full"), int((want >= 2).sum()))
+    assert (reached.step_of(keys[want >= 2]) == 4).all()
+    assert (reached.step_of(keys[want < 2]) < phrases.NEVER).mean() < 0.02
 
 
 def test_products_beyond_64_bits(spark):
