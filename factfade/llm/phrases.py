@@ -65,7 +65,7 @@ _BREAK = b"."
 _FOLD = bytes(
     ord(".") if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256)
 )
-_RANK_PARTS = 16
+_RANK_PARTS, _FEWER_PARTS = 16, 4
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -412,42 +412,87 @@ def count_phrases(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) ->
     shift = min(MOST_BUCKETS_SHIFT, max(4, int(n_words).bit_length() - BUCKET_SHIFT))
     sent = docs.sparkSession.sparkContext.broadcast(find_phrases(table, least, shards, shift))
 
-    def named(lang: str, part: Slice):
+    def named(part: Slice):
         texts = pa.array(part.words, pa.binary())
         live = np.flatnonzero(part.step1 < NEVER)
-        yield 1, texts.take(live), part.count_words()[live]
+        yield 1, texts.take(live), part.count_words()[live], part.h1[live]
         part.find_pairs()
         two = pc.binary_join_element_wise(texts.take(part.left), texts.take(part.right), b" ")
         live = np.flatnonzero(part.step2 < NEVER)
-        yield 2, two.take(live), part.count_pairs()[live]
+        yield 2, two.take(live), part.count_pairs()[live], part.h2[live]
         first, second, n = part.triples()
-        live = np.flatnonzero(sent.value[3].step_of(short(part.h3(first, second), shift)) < NEVER)
+        h3 = part.h3(first, second)
+        live = np.flatnonzero(sent.value[3].step_of(short(h3, shift)) < NEVER)
         last = texts.take(part.right[second[live]])
-        yield 3, pc.binary_join_element_wise(two.take(first[live]), last, b" "), n[live]
+        three = pc.binary_join_element_wise(two.take(first[live]), last, b" ")
+        yield 3, three, n[live], h3[live]
 
     def run(batches):
         for lang, part in _each_slice(batches, sent.value, shift):
-            for words, phrase, n in named(lang, part):
-                whole = pa.RecordBatch.from_arrays(
-                    [
-                        pa.repeat(pa.scalar(lang, pa.string()), len(n)), phrase,
-                        pa.repeat(pa.scalar(words, pa.int32()), len(n)), pa.array(n.astype(np.int64)),
-                    ],
-                    ["lang", "phrase", "words", "n"],
-                )
-                for first in range(0, len(n), _OUT_ROWS):
-                    yield whole.slice(first, _OUT_ROWS)
+            for words, phrase, n, hashes in named(part):
+                yield _text_blocks(lang, words, phrase, n, short(hashes, shift) >> np.uint64(32))
 
     phrases = (
-        table.select("lang", "vocabulary", "codes")
-        .mapInArrow(run, "lang string, phrase binary, words int, n long")
-        .groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= least)
+        table.select("lang", "vocabulary", "codes").mapInArrow(run, _TEXT_BLOCKS)
+        .repartition("lang", "words", "bucket").sortWithinPartitions("lang", "words", "bucket")
+        .mapInArrow(_add_texts(least), "lang string, words int, phrase binary, n long")
         .withColumn("phrase", F.col("phrase").cast("string"))
     )
     return materialize(phrases, "phrases"), total
 
 
+_TEXT_BLOCKS = "lang string, words int, bucket int, texts binary, n binary"
+
+
+def _text_blocks(lang, words, phrase, n, buckets) -> pa.RecordBatch:
+    """Phrases in order, a block for each bucket (no phrase holds a line feed)."""
+    whole = pa.table({"bucket": pa.array(buckets.astype(np.int32)), "phrase": phrase})
+    order = pc.sort_indices(whole, [("bucket", "ascending"), ("phrase", "ascending")])
+    n, phrase = n[order.to_numpy()], phrase.take(order)
+    buckets = buckets[order.to_numpy()].astype(np.int64)
+    cut = np.flatnonzero(np.diff(buckets)) + 1
+    bounds = [0, *cut.tolist(), len(n)] if len(n) else [0]
+    spans = list(zip(bounds, bounds[1:]))
+    return pa.RecordBatch.from_pydict({
+        "lang": pa.array([lang] * len(spans), pa.string()),
+        "words": pa.array([words] * len(spans), pa.int32()),
+        "bucket": pa.array([int(buckets[i]) for i, _ in spans], pa.int32()),
+        "texts": pa.array([b"\n".join(phrase[i:j].to_pylist()) for i, j in spans], pa.binary()),
+        "n": pa.array([pack(n[i:j]) for i, j in spans], pa.binary()),
+    })
+
+
+def _add_texts(least: int):
+    def merge(batches):
+        key, parts = None, []
+
+        def done():
+            sums = pa.concat_tables(parts).group_by("phrase").aggregate([("n", "sum")])
+            sums = sums.filter(pc.greater_equal(sums["n_sum"], least))
+            lang, words, _ = key
+            for batch in sums.to_batches(_OUT_ROWS):
+                yield pa.RecordBatch.from_pydict({
+                    "lang": pa.repeat(pa.scalar(lang, pa.string()), len(batch)),
+                    "words": pa.repeat(pa.scalar(words, pa.int32()), len(batch)),
+                    "phrase": batch["phrase"], "n": batch["n_sum"],
+                })
+
+        for batch in batches:
+            for *this, texts, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if this != key:
+                    if key is not None:
+                        yield from done()
+                    key, parts = this, []
+                parts.append(pa.table({
+                    "phrase": pa.array(texts.split(b"\n"), pa.binary()),
+                    "n": pa.array(unpack(n).astype(np.int64)),
+                }))
+        if key is not None:
+            yield from done()
+
+    return merge
+
+
 def collocations(
     docs: DataFrame, least: int = LEAST, most: int = MOST, shards: int = SHARDS
 ) -> DataFrame:
@@ -494,15 +539,14 @@ def collocations(
         .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     )
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(_RANK_PARTS))
-    heads = (  # a language is ranked in parts first
-        scored.withColumn("part", part)
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best)))
-        .filter(F.col("rank") <= most)
-    )
+    ranked = scored.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(_RANK_PARTS)))
+    for keys in (["lang", "part"], ["lang", "part"], ["lang"]):  # a language in parts first
+        ranked = ranked.withColumn(
+            "rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))
+        ).filter(F.col("rank") <= most)
+        ranked = ranked.withColumn("part", F.col("part") % _FEWER_PARTS)
     return (
-        heads.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)))
-        .filter(F.col("rank") <= most)
+        ranked
         .join(totals, "lang")
         .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
     )
