@@ -201,12 +201,16 @@ class Mix:
                 F.pmod("start", F.lit(self.block_words)).alias("_mix_offset"),
             )
         )
-        rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
-        rows = rows.dropDuplicates(["doc_id", "source", "_text_hash"])
+        # Columns of ``docs`` may have any names: they travel under numbers.
+        numbers = {name: f"_doc_{k}" for k, name in enumerate(docs.columns)}
+        rows = docs.toDF(*numbers.values())
+        doc_id, source, text = (F.col(numbers[c]) for c in ("doc_id", "source", "text"))
+        rows = rows.withColumn("_text_hash", F.xxhash64(text.cast("string")))
+        rows = rows.dropDuplicates([numbers["doc_id"], numbers["source"], "_text_hash"])
         joined = rows.join(
             drawn,
-            F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id"))
-            & F.col("source").cast("string").eqNullSafe(F.col("_mix_source"))
+            doc_id.cast("long").eqNullSafe(F.col("_mix_id"))
+            & source.cast("string").eqNullSafe(F.col("_mix_source"))
             & (F.col("_text_hash") == F.col("_mix_hash")),
         )
 
@@ -215,10 +219,12 @@ class Mix:
             return F.get(F.col("_mix_uses"), block) >= F.col("_mix_copy")
 
         # The words are cut once per row, as the argument of the filter.
-        words = F.filter(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), drawn_word)
+        words = F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), drawn_word)
         whole = F.forall("_mix_uses", lambda uses: uses >= F.col("_mix_copy"))
-        text = F.when(whole, F.col("text")).otherwise(F.array_join(words, " "))
-        out = joined.withColumn("text", text).select(*docs.columns)
+        taken = F.when(whole, text).otherwise(F.array_join(words, " "))
+        out = joined.withColumn(numbers["text"], taken).select(
+            *[F.col(number).alias(name) for name, number in numbers.items()]
+        )
         if "n_chars" in docs.columns:
             kind = docs.schema["n_chars"].dataType
             out = out.withColumn("n_chars", F.char_length("text").cast(kind))

@@ -75,8 +75,12 @@ class _Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
         from tokenizers import Tokenizer
 
+        self.path = path
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings are ordinary text
+        self.library.encode_special_tokens = True  # pieces hold none of their strings
+        added = [t["content"] for t in json.loads(self.library.to_str()).get("added_tokens") or []]
+        self.special = re.compile("|".join(map(re.escape, added))).search if added else None
+        self.whole = None
         normal = json.loads(self.library.to_str()).get("normalizer") or {}
         steps = normal.get("normalizers", [normal])
         #: Words in capitals, or after a line feed, have the ids of the plain word.
@@ -99,6 +103,14 @@ class _Encoder:
             word = word.encode().decode("latin-1").translate(_SIGN_OF_BYTE)
         return [token.id for token in self.model.tokenize(self.before + word)]
 
+    def encode_whole(self, text: str) -> bytes:
+        """Ids of a text with the string of a special token, by the library alone."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
     def begin(self) -> dict[str, bytes]:
         """The young generation, a new one if it is full."""
         if len(self.young) > KEPT_PIECES:
@@ -173,7 +185,11 @@ def _encode(known: _Encoder, texts: list[str]) -> list[bytes]:
     out: list[bytes | None] = []
     missing: set[str] = set()
     open_ = []
+    special = known.special
     for k, text in enumerate(texts):
+        if special is not None and special(text):
+            out.append(known.encode_whole(text))
+            continue
         pieces = _pieces(text)
         parts = list(map(young.get, pieces))
         try:

@@ -10,7 +10,8 @@ third, so none of them sees its own training rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ SECOND_PERSON = frozenset(
     "you your yours yourself u tu te toi ton ta tes vous votre vos "
     "tú ti tuyo usted ustedes vosotros du dich dir dein deine ihr euch euer".split()
 )
-# Signs that stand for letters.
-_LETTER_FOR = str.maketrans("013457@$!|+", "oleastasiit")
+# Signs that stand for letters, and those that stand for either of two.
+_LETTER_FOR = str.maketrans("03457@$+", "oeastast")
+_EITHER = {"1": "li", "!": "il", "|": "il"}
+_MOST_READ = 4
 
 SAMPLE_ROWS = 9000
 LEXICON_ENTRIES = 1500
@@ -51,10 +54,35 @@ def plain(word: str) -> str:
     return _STRIP.sub("", word.lower())
 
 
-def spelled(word: str) -> str:
-    """A hidden spelling undone: signs for letters, stars and long runs taken away."""
-    found = word.lower().rstrip(".,;:!?").translate(_LETTER_FOR)
-    return _LONG_RUN.sub(r"\1", _STRIP.sub("", re.sub(r"[^\w]|_", "", found)))
+def readings(word: str) -> list[str]:
+    """``word`` with each sign of two meanings as either letter, the usual ones first.
+
+    Words with more than ``_MOST_READ`` such signs are read with all usual or all other
+    letters.
+    """
+    places = [k for k, sign in enumerate(word) if sign in _EITHER]
+    ways = [(0,) * len(places), (1,) * len(places)]
+    if len(places) <= _MOST_READ:
+        ways = list(product((0, 1), repeat=len(places)))
+    found = []
+    for way in ways if places else ways[:1]:
+        signs = list(word)
+        for k, which in zip(places, way, strict=True):
+            signs[k] = _EITHER[word[k]][which]
+        found.append("".join(signs))
+    return found
+
+
+def spelled(word: str, lexicon: Container[str] = ()) -> str:
+    """A hidden spelling undone: signs for letters, stars and long runs taken away.
+
+    Of several readings one that the lists know is taken, else the usual one.
+    """
+    low = word.lower().rstrip(".,;:!?").translate(_LETTER_FOR)
+    found = [
+        _LONG_RUN.sub(r"\1", _STRIP.sub("", re.sub(r"[^\w]|_", "", way))) for way in readings(low)
+    ]
+    return next((w for w in found if w in INSULTS or w in lexicon), found[0])
 
 
 def keys_of(word: str) -> list[str]:
@@ -83,7 +111,7 @@ def _slice_features(words: Words, lexicon: dict[str, float]) -> np.ndarray:
         bare = plain(word)
         row = facts[k]
         hidden = bool(_SIGN_INSIDE.search(word)) or bool(_LONG_RUN.search(bare))
-        shown = spelled(word) if hidden else bare
+        shown = spelled(word, lexicon) if hidden else bare
         row[0] = shown in INSULTS
         row[1] = max([lexicon.get(key, 0.0) for key in keys_of(shown)]) if shown else 0.0
         row[2] = bare in SECOND_PERSON

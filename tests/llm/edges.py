@@ -4,7 +4,8 @@ from __future__ import annotations
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns under names that operators use inside.
-CLASH = ("score", "start", "size", "fp", "label", "bucket", "own", "uses", "block", "key", "digest")
+CLASH = ("score", "start", "size", "fp", "label", "bucket", "own", "uses", "block", "key", "digest",
+         "_away_id", "_away_digest", "_away_hash", "_mix_id", "_mix_uses", "_text_hash", "_digest", "_score", "blocks")
 
 LONG = "lorem ipsum dolor sit amet the quick brown fox of the lazy dog. " * 3000
 

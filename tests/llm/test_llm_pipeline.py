@@ -35,6 +35,11 @@ def test_query_covers_its_table(spark, name):
         texts = q.table(spark, SF, "documents")
         held = texts.filter(F.col("text").rlike("MIT License|CC BY-NC 4|Apache License|General Public License"))
         assert {r[0] for r in found.select("doc_id").collect()} == {r[0] for r in held.select("doc_id").collect()}
+    elif name.startswith("op11_"):
+        assert found.select("page_id").distinct().count() == q.table(spark, SF, "pages").count()
+    elif name.startswith("op13_"):
+        ids = q.table(spark, SF, "conversations").select("conv_id").distinct().count()
+        assert found.filter("depth = 0").first()["n_convs"] == ids
     else:
         assert found.select("doc_id").distinct().count() == q.table(spark, SF, "documents").count()
 

@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import lru_cache
 
 import edges
 import numpy as np
@@ -19,8 +20,15 @@ HARD = [
 ]
 
 
+@lru_cache
+def fresh(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def library(path, text):
-    return np.asarray(encoder(path).library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    return np.asarray(fresh(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
@@ -28,6 +36,11 @@ def test_pieces_give_the_ids_of_the_whole_text(path):
     assert encode_bytes(path, HARD) == [library(path, t) for t in HARD]
 
 
+def test_special_tokens_are_one_id():
+    got = [np.frombuffer(encode_bytes(p, ["<|endoftext|> hi"])[0], "<u4").tolist() for p in (WORDS, BYTES)]
+    assert got == [[49407, 1883], [50256, 23105]]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.sampled_from("abdehlnorstzABÀÉßéñöü"), min_size=1, max_size=14), max_size=6))
 def test_words_of_letters_give_the_ids_of_the_library(words):
