@@ -39,27 +39,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: that of the largest doc_id."""
     found = materialize(deduplicate(*split_by_age(docs)), "exact-groups")
+    digest, away_id, away_digest = (_free(docs, c) for c in ("_digest", "_away_id", "_away_digest"))
     away = found.filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_away_id"), F.col("text_sha256").alias("_away_digest")
+        F.col("doc_id").alias(away_id), F.col("text_sha256").alias(away_digest)
     )
-    digest = _free(docs, "_digest")
     rows = docs.withColumn(digest, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     if found.count() < docs.count():  # a row that is repeated whole stays once
         rows = rows.dropDuplicates(["doc_id", digest])
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_away_id")) & (
-        F.col(digest) == F.col("_away_digest")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(away_id)) & (
+        F.col(digest) == F.col(away_digest)
     )
     return rows.join(away, same, "left_anti").drop(digest)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: that of the smallest doc_id."""
+    away_id, away_hash = _free(docs, "_away_id"), _free(docs, "_away_hash")
     away = materialize(removed(near_duplicates(docs)), "near-copies").select(
-        F.col("doc_id").alias("_away_id"), F.col("text_hash").alias("_away_hash")
+        F.col("doc_id").alias(away_id), F.col("text_hash").alias(away_hash)
     )
     text_hash = F.xxhash64(docs["text"].cast("string"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_away_id")) & (
-        text_hash == F.col("_away_hash")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(away_id)) & (
+        text_hash == F.col(away_hash)
     )
     return docs.join(away, same, "left_anti")
 

@@ -23,6 +23,9 @@ _RUNTIME = {
 }
 
 
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Set UTC and adaptive execution (skewed join sides are split at run time)."""
     for key, value in _RUNTIME.items():
@@ -59,7 +62,8 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.partitionBy(*partition_by).parquet(path)
+    # A writer holds a row group in memory, whole texts included.
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
