@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from factfade.functions.text import ascii_lower, compact_snippet, query_terms, trim_white
 from factfade.model import Memory
+from factfade.operators.postings import TextIndex
 from factfade.operators.search import (
     cap_candidates,
     content_hits_while_room,
+    hits_of,
     hydrate,
     merge_hits,
     score_candidates,
     term_phrases,
     whole_phrases,
 )
-from factfade.operators.textindex import best_rows, phrase_hits, text_weights
+from factfade.operators.textindex import best_rows, text_weights
 from factfade.operators.visibility import live_observations
 from factfade.session import materialize
 
@@ -30,7 +32,7 @@ PHRASE, ANY_TERM, FIRST_TERM = 0, 1, 2
 
 def conflict_hints(
     facts: DataFrame, mem: Memory, as_of, half_life, min_score: float = MIN_SCORE,
-    k: int = MOST_HINTS,
+    k: int = MOST_HINTS, index: TextIndex | None = None,
 ) -> DataFrame:
     """(seq, rank, obs_id, similarity, snippet) for facts (seq, entity_id, content).
 
@@ -48,7 +50,7 @@ def conflict_hints(
     single = term_phrases(asked)
     whole = whole_phrases(asked, F.col("clean"))
     phrases = single.select("phrase").unionByName(whole.select("phrase")).distinct()
-    weights = text_weights(phrase_hits(mem, as_of, phrases))
+    weights = text_weights(hits_of(phrases, mem, as_of, index))
 
     def by_text(terms: DataFrame, step: int, channel: str) -> DataFrame:
         keyed = terms.join(owner, "query_id").select(

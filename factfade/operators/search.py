@@ -28,6 +28,7 @@ from factfade.functions.text import (
 )
 from factfade.model import Memory
 from factfade.operators.ordering import number_rows
+from factfade.operators.postings import TextIndex
 from factfade.operators.substrings import (
     has_many,
     lowest_ids,
@@ -121,6 +122,17 @@ def _text_channel(
     )
 
 
+def fts_any_term_indexed(prepared: DataFrame, index: TextIndex, mem: Memory, as_of) -> DataFrame:
+    """``fts_any_term`` from stored blocks, of which only those that can matter are opened."""
+    terms = term_phrases(prepared).select(
+        F.col("query_id").alias("key"), "phrase", "times", F.col("collect").alias("keep")
+    )
+    return index.best_rows(terms, mem, as_of, most_hits(prepared)).select(
+        F.col("key").alias("query_id"), F.lit(ANY_TERM).alias("step"),
+        F.lit("fts").alias("channel"), "obs_id", "position", F.col("position").alias("fts_pos"),
+    )
+
+
 def fts_any_term(prepared: DataFrame, weights: DataFrame) -> DataFrame:
     """Rows with any term in any field, best text rank first."""
     return _text_channel(
@@ -135,13 +147,18 @@ def fts_phrase(prepared: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def search_weights(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
-    phrases = (
-        term_phrases(prepared).select("phrase")
-        .unionByName(whole_phrases(prepared, F.col("terms")).select("phrase"))
-        .distinct()
-    )
-    return text_weights(phrase_hits(mem, as_of, phrases))
+def hits_of(phrases: DataFrame, mem: Memory, as_of, index: TextIndex | None = None) -> DataFrame:
+    """Occurrences of phrases, from a stored index if there is one."""
+    return phrase_hits(mem, as_of, phrases) if index is None else index.hits(phrases, mem, as_of)
+
+
+def search_weights(
+    prepared: DataFrame, mem: Memory, as_of, index: TextIndex | None = None
+) -> DataFrame:
+    phrases = whole_phrases(prepared, F.col("terms")).select("phrase")
+    if index is None:  # single terms are ranked in the index itself
+        phrases = phrases.unionByName(term_phrases(prepared).select("phrase"))
+    return text_weights(hits_of(phrases.distinct(), mem, as_of, index))
 
 
 def _named(mem: Memory) -> DataFrame:
@@ -298,14 +315,19 @@ def content_hits_while_room(
 
 
 def channel_hits(
-    prepared: DataFrame, mem: Memory, as_of, only_while_room: bool = False
+    prepared: DataFrame, mem: Memory, as_of, only_while_room: bool = False,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """Hits of all channels: (query_id, step, channel, obs_id, position, fts_pos).
 
     The three entity channels share one pass over the visible rows.  With
     ``only_while_room`` terms that can no longer run are not looked up.
     """
-    weights = search_weights(prepared, mem, as_of)
+    weights = search_weights(prepared, mem, as_of, index)
+    any_term = (
+        fts_any_term(prepared, weights) if index is None
+        else fts_any_term_indexed(prepared, index, mem, as_of)
+    )
     exact = _whole_text(prepared, F.lit(EXACT_NAME), "entity_exact")
     like = _whole_text(prepared, F.lit(NAME_PART), "entity_like")
     kind = _each_term(prepared, FIRST_TERM + F.size("terms"), "type_like")
@@ -317,7 +339,7 @@ def channel_hits(
         exact.unionByName(like).unionByName(kind),
         _rows_of(owners, "entity_id", mem, as_of, most_hits(prepared)),
     )
-    text = [fts_phrase(prepared, weights), fts_any_term(prepared, weights), by_entity]
+    text = [fts_phrase(prepared, weights), any_term, by_entity]
     others = materialize(
         reduce(DataFrame.unionByName, [*text, event_label(prepared, mem, as_of)]), "channels"
     )
@@ -371,9 +393,11 @@ def cap_candidates(
     )
 
 
-def collect_candidates(prepared: DataFrame, mem: Memory, as_of) -> DataFrame:
+def collect_candidates(
+    prepared: DataFrame, mem: Memory, as_of, index: TextIndex | None = None
+) -> DataFrame:
     """(query_id, obs_id, channels, best_weight, fts_pos) of a batch of queries."""
-    hits = channel_hits(prepared, mem, as_of, only_while_room=True)
+    hits = channel_hits(prepared, mem, as_of, only_while_room=True, index=index)
     capped = cap_candidates(hits, prepared.select("query_id", "cap"))
     return materialize(merge_hits(capped), "candidates")
 
@@ -446,10 +470,15 @@ def recall_from(candidates: DataFrame, prepared: DataFrame, mem: Memory, as_of,
     )
 
 
-def recall(queries: DataFrame, mem: Memory, as_of, half_life) -> DataFrame:
-    """Ranked rows of a batch of queries (query_id, text, max_results)."""
+def recall(
+    queries: DataFrame, mem: Memory, as_of, half_life, index: TextIndex | None = None
+) -> DataFrame:
+    """Ranked rows of a batch of queries (query_id, text, max_results).
+
+    With a stored ``index`` of ``mem`` no text is cut into words.
+    """
     prepared = prepare_queries(queries)
-    candidates = collect_candidates(prepared, mem, as_of)
+    candidates = collect_candidates(prepared, mem, as_of, index)
     return recall_from(candidates, prepared, mem, as_of, half_life)
 
 
@@ -560,7 +589,9 @@ def touch(mem: Memory, returned: DataFrame, as_of) -> DataFrame:
     )
 
 
-def text_match_ids(queries: DataFrame, mem: Memory, as_of) -> DataFrame:
+def text_match_ids(
+    queries: DataFrame, mem: Memory, as_of, index: TextIndex | None = None
+) -> DataFrame:
     """All visible rows with any term of a query: no limit.
 
     ``pos`` numbers the rows of a query from 1 by ``text_rank`` (lower is better), then
@@ -570,7 +601,7 @@ def text_match_ids(queries: DataFrame, mem: Memory, as_of) -> DataFrame:
         "query_id", F.lit(0).alias("collect"), query_terms(F.col("text")).alias("clean")
     )
     terms = term_phrases(asked)
-    weights = text_weights(phrase_hits(mem, as_of, terms.select("phrase").distinct()))
+    weights = text_weights(hits_of(terms.select("phrase").distinct(), mem, as_of, index))
     ranked = materialize(
         terms.join(weights, "phrase")
         .groupBy("query_id", "obs_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,9 @@ _ROW_MARK = ""
 # A batch of phrases up to this many bytes is sent to every executor.
 BROADCAST_BYTES = 16 * 1024 * 1024
 
-# Slack for rounding when a whole term is ruled out by its best possible weight.
-_SLACK = 1e-6
+# Slack for rounding when rows are ruled out by their best possible score: ten steps of
+# the rounded score, as words that nearly all rows hold differ by little more.
+_SLACK = 10.0 ** (1 - RANK_DECIMALS)
 
 
 def indexed_rows(mem: Memory, as_of) -> DataFrame:
@@ -79,16 +82,6 @@ def postings(mem: Memory, as_of) -> DataFrame:
     )
 
 
-def write_postings(mem: Memory, as_of, path: str, buckets: int = 256) -> None:
-    """Store the postings, partitioned by token so that a lookup reads few files."""
-    (
-        postings(mem, as_of)
-        .withColumn("token_bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-        .repartition("token_bucket", F.pmod(F.xxhash64("obs_id"), F.lit(64)))
-        .write.partitionBy("token_bucket").parquet(path)
-    )
-
-
 def _anchored(phrases: DataFrame) -> DataFrame:
     """Each phrase with its longest word, by which occurrences are looked up."""
     words = F.split("phrase", " ")
@@ -213,50 +206,81 @@ def best_rows(
     Common words would pair every query with nearly every row.  The best few rows
     per word give a score that ``keep`` rows are sure to reach; words that even
     together cannot reach it (the "max score" rule) bring in no rows of their
-    own and are only added up for rows that a rarer word brought in.
+    own and are only added up for rows that a rarer word brought in.  A word that does
+    bring rows brings those alone that can reach the score with the best of all others.
     """
     weights = weights.select(group.alias("grp"), "phrase", "obs_id", "weight")
     by_weight = Window.partitionBy("grp", "phrase").orderBy(F.desc("weight"), "obs_id")
     heads = weights.withColumn("rn", F.row_number().over(by_weight)).filter(F.col("rn") <= most)
     peaks = heads.filter(F.col("rn") == 1).select("grp", "phrase", F.col("weight").alias("peak"))
+    split = bringing_terms(terms, heads, peaks, most, margin)
+    return score_of_rank(add_common(split, weights, lambda rows: weights, most, margin), most)
 
+
+def _reached(parts: DataFrame, most: int) -> DataFrame:
+    """(key, sure): the score that ``keep`` rows have reached, from (key, keep, obs_id, part)."""
     by_part = Window.partitionBy("key").orderBy(F.desc("part"), "obs_id")
-    reached = (
-        terms.join(heads, ["grp", "phrase"])
-        .groupBy("key", "keep", "obs_id").agg(F.sum(F.col("weight") * F.col("times")).alias("part"))
-        .withColumn("rn", F.row_number().over(by_part))
+    return (
+        parts.withColumn("rn", F.row_number().over(by_part))
         .filter((F.col("rn") <= most) & (F.col("rn") == F.col("keep")))
         .select("key", F.col("part").alias("sure"))
     )
+
+
+def bringing_terms(
+    terms: DataFrame, heads: DataFrame, peaks: DataFrame, most: int, margin: float
+) -> DataFrame:
+    """Terms with ``best``, whether each ``brings_rows``, and the ``floor`` of those it brings.
+
+    ``heads`` (grp, phrase, obs_id, weight) holds some good rows of each phrase, ``peaks``
+    (grp, phrase, peak) a weight that none exceeds.
+    """
+    reached = _reached(
+        terms.join(heads, ["grp", "phrase"])
+        .groupBy("key", "keep", "obs_id").agg(F.sum(F.col("weight") * F.col("times")).alias("part")),
+        most,
+    )
     rising = (
         Window.partitionBy("key").orderBy("best", "phrase")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    split = materialize(
+    return materialize(
         terms.join(peaks, ["grp", "phrase"])
         .withColumn("best", F.col("peak") * F.col("times"))
         .withColumn("together", F.sum("best").over(rising))
+        .withColumn("all_best", F.sum("best").over(Window.partitionBy("key")))
         .join(reached, "key", "left")
         .withColumn(
             "brings_rows",
             F.col("sure").isNull() | (F.col("together") >= F.col("sure") - margin),
         )
-        .select("key", "grp", "phrase", "times", "keep", "best", "brings_rows"),
+        .withColumn(
+            "floor",
+            F.coalesce(F.col("sure") - (F.col("all_best") - F.col("best")), F.lit(0.0)),
+        )
+        .select("key", "grp", "phrase", "times", "keep", "best", "brings_rows", "floor"),
         "terms",
     )
+
+
+def add_common(
+    split: DataFrame, weights: DataFrame, of_rows: Callable[[DataFrame], DataFrame], most: int,
+    margin: float,
+) -> DataFrame:
+    """(key, keep, obs_id, score) of the rows that can be among the best.
+
+    ``weights`` holds all weights at or above the floors; ``of_rows`` gives the weights of
+    the terms that bring no rows, in given rows (obs_id) at least.
+    """
     rows = materialize(
         split.filter("brings_rows").join(weights, ["grp", "phrase"])
+        .filter(F.col("weight") * F.col("times") >= F.col("floor") - margin)
         .groupBy("key", "grp", "keep", "obs_id")
         .agg(F.sum(F.col("weight") * F.col("times")).alias("part")),
         "scored",
     )
     # These sums are a better bound than the heads gave: rows that cannot reach it
     # even with the best of all common words are done with.
-    reached = (
-        rows.withColumn("rn", F.row_number().over(by_part))
-        .filter((F.col("rn") <= most) & (F.col("rn") == F.col("keep")))
-        .select("key", F.col("part").alias("sure"))
-    )
     common = split.filter(~F.col("brings_rows")).groupBy("key").agg(
         F.collect_list(F.struct("phrase", "times")).alias("common"),
         F.sum("best").alias("common_best"),
@@ -264,17 +288,24 @@ def best_rows(
     hopeful = F.col("sure").isNull() | (
         F.col("part") + F.coalesce("common_best", F.lit(0.0)) >= F.col("sure") - margin
     )
-    scored = (
-        rows.join(reached, "key", "left").join(common, "key", "left").filter(hopeful)
+    hoped = materialize(
+        rows.join(_reached(rows, most), "key", "left").join(common, "key", "left").filter(hopeful)
         .select("key", "grp", "keep", "obs_id", "part", F.explode_outer("common").alias("c"))
-        .select("key", "grp", "keep", "obs_id", "part", "c.phrase", "c.times")
-        .join(weights, ["grp", "phrase", "obs_id"], "left")
+        .select("key", "grp", "keep", "obs_id", "part", "c.phrase", "c.times"),
+        "hopeful",
+    )
+    return (
+        hoped.join(of_rows(hoped.select("obs_id").distinct()), ["grp", "phrase", "obs_id"], "left")
         .groupBy("key", "keep", "obs_id")
         .agg(
             (F.max("part") + F.coalesce(F.sum(F.col("weight") * F.col("times")), F.lit(0.0)))
             .alias("score")
         )
     )
+
+
+def score_of_rank(scored: DataFrame, most: int) -> DataFrame:
+    """(key, obs_id, position) of the best ``keep`` rows of each key."""
     by_score = Window.partitionBy("key").orderBy(F.desc(F.round("score", RANK_DECIMALS)), "obs_id")
     return (
         scored.withColumn("rn", F.row_number().over(by_score))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factfade.operators import hints, search, textindex
+from factfade.model import Memory
+from factfade.operators import hints, search, textindex, writes
+from factfade.operators.postings import TextIndex
 from factfade.plans import inputs, oracle_search
 from factfade.plans.inputs import AS_OF
 from factfade.plans.oracle_views import NOW, decayed, memory, tokens
-from factfade.plans.registry import num, query, ts
+from factfade.plans.registry import ORACLES, num, query, ts
+from factfade.session import scratch_path
 
 HL = 12
 
@@ -287,3 +290,46 @@ def conflict_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hints.conflict_hints(
         facts.select("seq", "entity_id", F.col("observation").alias("content")), mem, AS_OF, HL
     )
+
+
+# The same searches from an index on shared storage.
+
+
+def _stored(mem: Memory) -> TextIndex:
+    return TextIndex.build(mem, scratch_path(mem.observations.sparkSession, "text-index"))
+
+
+@query("fts_any_term_stored", ORACLES["fts_any_term"])
+def fts_any_term_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared, mem = _prepared(spark, sf_dir)
+    return _hit_columns(search.fts_any_term_indexed(prepared, _stored(mem), mem, AS_OF))
+
+
+@query("fts_phrase_stored", ORACLES["fts_phrase"])
+def fts_phrase_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared, mem = _prepared(spark, sf_dir)
+    weights = search.search_weights(prepared, mem, AS_OF, _stored(mem))
+    return _hit_columns(search.fts_phrase(prepared, weights))
+
+
+@query("text_match_ids_stored", ORACLES["text_match_ids"])
+def text_match_ids_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mem = inputs.memory(spark, sf_dir)
+    return search.text_match_ids(inputs.queries(spark, sf_dir), mem, AS_OF, _stored(mem))
+
+
+@query(
+    "index_after_writes",
+    memory("doc") + f"""
+SELECT token, count(DISTINCT obs_id) AS n_rows FROM ({_POSTINGS}) p WHERE obs_id % 10 <> 0 GROUP BY token""",
+)
+def index_after_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that hold each token, after rows came in two batches and a tenth was forgotten."""
+    mem = inputs.memory(spark, sf_dir)
+    index = TextIndex(spark, scratch_path(spark, "text-index"))
+    late = F.col("id") % 3 == 0
+    index.add(mem.observations.filter(~late), mem.entities, batch=0)
+    index.add(mem.observations.filter(late), mem.entities, batch=1)
+    ids = mem.observations.filter(F.col("id") % 10 == 0).select("id")
+    index.follow(mem, writes.forget_observations(mem, ids, AS_OF), batch=2)
+    return index.all_counts().select("token", F.col("n").alias("n_rows"))
