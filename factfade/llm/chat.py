@@ -2,7 +2,8 @@ r"""Conversations as training windows of a token budget.
 
 Running sums of turn tokens cut a conversation into spans of whole turns.  A window
 holds the system turn, as much recent history as its limit and the budget allow, and
-the turns of one span.  Only assistant texts that a window brings for the first time
+the turns of one span.  Where the system turn leaves too little room, a span is cut
+between turns into as many windows as the budget asks for.  Only assistant texts that a window brings for the first time
 are under the loss mask; repeated ones are context.
 
 A turn is written as ``### role: text</turn>`` and a line feed.  Inside roles and texts
@@ -97,16 +98,25 @@ def _write_windows(batches: Iterator[pa.RecordBatch], budget: int, history: int)
     key = span = system = None
     recent: deque = deque()
     new: list = []
+    began = 0  # prefix sum at the first new turn
     made: list[list] = [[] for _ in range(8)]
 
+    def exceeds(stop: int) -> bool:
+        """Whether new turns up to the prefix sum ``stop`` leave no room for the rest."""
+        room = budget
+        if system is not None and system[0] < new[0][0] and system[4] <= budget:
+            room -= system[4]
+        return stop - began > room - min(history, room // 4)
+
     def close() -> None:
         if not new:
             return
         room = budget - sum(t[4] for t in new)
         before, first = [], new[0][0]
         if system is not None and system[0] < first:
-            before.append(system)
-            room -= system[4]
+            if system[4] <= (room if room >= 0 else budget):
+                before.append(system)
+                room -= system[4]
         room, kept = min(room, history), []
         for t in reversed(recent):
             if t[4] > room:
@@ -164,9 +174,9 @@ def _write_windows(batches: Iterator[pa.RecordBatch], budget: int, history: int)
                 if turn is not system:
                     recent.append(turn)
                 continue
-            if span != row["span"]:
+            if span != row["span"] or (new and exceeds(row["start"] + row["tokens"])):
                 close()
-                span = row["span"]
+                span, began = row["span"], row["start"]
             new.append(turn)
             if len(made[0]) >= 500:
                 yield batch_of()
@@ -184,8 +194,10 @@ def format_windows(
 
     NULL role and text count as empty, rows without conv_id as one conversation; turns
     go by turn (NULL first), then role, then a hash of the text.  Repeated rows are
-    turns like any other.  The system turn is a first turn of role ``system``.  A turn
-    is never cut: one that exceeds the budget alone gives a window ``over_budget``.
+    turns like any other.  The system turn is a first turn of role ``system``; a window
+    goes without it only where the two exceed the budget and a turn alone does not, or
+    where it exceeds the budget itself.  A turn is never cut: only one that exceeds the
+    budget alone gives a window ``over_budget``.
     An empty table gives no window; other columns are not read.
 
     A conversation is dealt to chunks of a bounded number of tokens, which get the
@@ -207,7 +219,7 @@ def format_windows(
         ),
         "turn-spans",
     )
-    columns = ["conv", "chunk", "seq", "role", "text", "tokens", "span"]
+    columns = ["conv", "chunk", "seq", "role", "text", "tokens", "start", "span"]
     own = spans.select(*columns, F.lit(True).alias("own"))
     edge = (F.col("chunk") + 1) * F.lit(SPAN * _SPANS_PER_CHUNK) - F.lit(history)
     is_system = (F.col("seq") == 0) & (F.col("role") == "system")

@@ -90,6 +90,35 @@ def test_windows_obey_budget_and_history(spark, monkeypatch):
     assert [r["over_budget"] for r in sorted(alone, key=lambda r: r["window"])] == [True, False]
 
 
+@pytest.mark.parametrize("budget, system_words", [(2048, 300), (2048, 600), (2048, 1500), (2048, 2040), (2048, 2100), (300, 20)])
+def test_a_long_system_turn_leaves_the_budget_alone(spark, monkeypatch, budget, system_words):
+    monkeypatch.setattr(chat, "_SPANS_PER_CHUNK", 3)
+    said = [(0, "system", " a" * system_words)] + [
+        (k, ("user", "assistant")[k % 2 == 0], f" {k}" * (1 + 97 * k % 450)) for k in range(1, 60)
+    ]
+    source = spark.createDataFrame([(4, *turn) for turn in said], SCHEMA)
+    windows = chat.format_windows(source, BYTES, budget=budget)
+    rows = sorted(windows.collect(), key=lambda r: r["window"])
+    size = {}
+    for k, (_, role, text) in enumerate(said):
+        whole = "".join((*chat.render(role, text), chat.CLOSE))
+        size[k] = len(next(iter(chat.encode_bytes(BYTES, [whole])))) // 4
+    at = 0
+    for r in rows:
+        new = range(r["window"], r["window"] + r["n_new"])
+        own, turns = sum(size[k] for k in new), chat.parse(r["formatted"])
+        at += r["n_new"]
+        assert r["over_budget"] == (r["tokens"] > budget)
+        assert not r["over_budget"] or max(size[k] for k in new) > budget
+        assert own <= budget or r["n_new"] == 1
+        fits = size[0] + own <= budget or own > budget >= size[0]
+        assert (turns[0][0] == "system") == (r["window"] == 0 or fits)
+        assert turns[r["n_repeated"] :] == [said[k][1:] for k in new]
+    assert at == len(said) and [r["window"] for r in rows] == [sum(x["n_new"] for x in rows[:i]) for i in range(len(rows))]
+    got = chat.read_back(windows).first()
+    assert tuple(got)[1:5] == expected(source.collect())[4]
+
+
 def test_no_conversations(spark):
     windows = chat.format_windows(spark.createDataFrame([], SCHEMA), BYTES)
     assert windows.count() == 0 and chat.read_back(windows).count() == 0
