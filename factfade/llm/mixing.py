@@ -24,6 +24,8 @@ MOST_PASSES = 2
 BLOCK_WORDS = 128
 SHARD_SLOTS = 8192
 ROUNDS = 16
+TASK_SLOTS = 100_000
+MOST_TASKS = 50_000
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -126,8 +128,7 @@ def draw_slots(plan: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) -> Da
         .groupBy("shard", "source_no").agg(F.count(F.lit(1)).alias("n"))
     )
     drawn = materialize(drawn, "mix-draws")
-    earlier = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    numbered = running_before(drawn, ["source_no"], [F.col("shard")], {"first": "n"})
     kept = numbered.join(ranges.select("source_no", "slots"), "source_no").select(
         "shard", "source_no", "first", F.least(F.col("n"), F.col("slots") - F.col("first")).alias("n")
     )
@@ -267,8 +268,12 @@ def mix(
     )
     plan = materialize(plan.select("source_no", "blocks", "slots"), "mix-plan")
     drawn = draw_slots(plan, seed, shard_slots)
+    # The draws are a small table, the permutations of their slots the work: the number
+    # of tasks follows the slots.
+    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    tasks = min(max(-(-total // TASK_SLOTS), 1), MOST_TASKS)
     numbered_slots = (
-        drawn.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+        drawn.repartition(tasks, "source_no", "first").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
         .join(plan.select("source_no", "blocks"), "source_no")
         .withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
     )
