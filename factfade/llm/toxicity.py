@@ -2,9 +2,10 @@
 
 Features are rates per text: words of a lexicon, their closeness to the second
 person, capitals, punctuation and spellings that hide a word.  The lexicon is a short
-fixed list and words and word beginnings learned from one part of a bounded labelled
-sample; trees are grown on a second part and calibrated by isotonic regression on a
-third, so none of them sees its own training rows.
+fixed list and words and word beginnings learned from a bounded labelled sample.  The
+sample is cut into folds: a row is measured with the lexicon of the other folds, and
+the isotonic calibration learns from log-odds of trees grown on the other folds, so
+every row serves all three steps and none is judged by what it taught.
 """
 
 from __future__ import annotations
@@ -42,6 +43,9 @@ _MOST_READ = 4
 
 SAMPLE_ROWS = 9000
 LEXICON_ENTRIES = 1500
+FOLDS = 5
+_LEAST_DOCUMENTS = 4
+_LEAST_ODDS = 3
 NEAR = 5
 _PREFIXES = (4, 5, 6)
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
@@ -267,36 +271,70 @@ class Isotonic:
         return np.clip(0.98 * step + 0.02 * plain_score, 0, 1)  # ranks inside a pool stay
 
 
-def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES) -> dict[str, float]:
-    """Words and beginnings of words that mark label 1, with their log-odds.
+class Lexica:
+    """Counts of words and beginnings of words in a labelled sample, by fold.
 
-    Counts documents of ``sample`` (text, label) per key; at most ``entries`` strongest
-    keys come to the driver.
+    ``sample`` has text, label and part (a fold from 0).  Documents of label 1 and 0 are
+    counted per key once for all lexica.
     """
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels = batch.column("label").to_pylist()
-            for text, label in zip(batch.column("text").to_pylist(), labels, strict=True):
-                words = {plain(w) for w in (text or "").split()}
-                found = sorted({k for w in words if w for k in keys_of(w)})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.string()), pa.array([label] * len(found), pa.int32())],
-                    ["key", "label"],
-                )
+    def __init__(self, sample: DataFrame, folds: int = FOLDS):
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                labels, parts = (batch.column(c).to_pylist() for c in ("label", "part"))
+                for text, label, part in zip(
+                    batch.column("text").to_pylist(), labels, parts, strict=True
+                ):
+                    words = {plain(w) for w in (text or "").split()}
+                    found = sorted({k for w in words if w for k in keys_of(w)})
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(found, pa.string()), pa.array([label] * n, pa.int32()),
+                            pa.array([part] * n, pa.int32()),
+                        ],
+                        ["key", "label", "part"],
+                    )
+
+        sizes = sample.groupBy("part", "label").count().collect()
+        self.sizes = {(r["part"], r["label"]): r["count"] for r in sizes}
+        good = [
+            F.sum(F.when(F.col("part") == k, F.col("label")).otherwise(0)).alias(f"a{k}")
+            for k in range(folds)
+        ]
+        bad = [
+            F.sum(F.when(F.col("part") == k, 1 - F.col("label")).otherwise(0)).alias(f"b{k}")
+            for k in range(folds)
+        ]
+        counted = (
+            sample.select("text", "label", "part")
+            .mapInArrow(keys, "key string, label int, part int")
+            .groupBy("key").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"), *good, *bad)
+            .filter(F.col("a") >= _LEAST_DOCUMENTS)
+        )
+        self.counts = materialize(counted, "lexicon-counts")
 
-    sizes = dict(tuple(r) for r in sample.groupBy("label").count().collect())
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    if not n0 or not n1:
-        return {}
-    odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n0 + 1.0))
-    counted = (
-        sample.select("text", "label").mapInArrow(keys, "key string, label int")
-        .groupBy("key").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-        .filter("a >= 4").withColumn("odds", odds).filter("odds >= 3")
-        .orderBy(F.desc(F.col("a") * F.col("odds")), "key").limit(entries)
-    )
-    return {r["key"]: float(r["odds"]) for r in counted.collect()}
+    def learn(self, without: int | None = None, entries: int = LEXICON_ENTRIES) -> dict[str, float]:
+        """Keys that mark label 1 in all folds but ``without``, with their log-odds.
+
+        At most ``entries`` strongest keys come to the driver.
+        """
+        n0, n1 = (
+            sum(n for (part, label), n in self.sizes.items() if label == which and part != without)
+            for which in (0, 1)
+        )
+        if not n0 or not n1:
+            return {}
+        left = F.lit(0) if without is None else F.col(f"a{without}")
+        a = F.col("a") - left
+        b = F.col("b") - (F.lit(0) if without is None else F.col(f"b{without}"))
+        odds = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
+        found = (
+            self.counts.select("key", a.alias("times"), odds.alias("odds"))
+            .filter((F.col("times") >= _LEAST_DOCUMENTS) & (F.col("odds") >= _LEAST_ODDS))
+            .orderBy(F.desc(F.col("times") * F.col("odds")), "key").limit(entries)
+        )
+        return {r["key"]: float(r["odds"]) for r in found.collect()}
 
 
 class ToxicityModel:
@@ -310,19 +348,28 @@ class ToxicityModel:
         cls, docs: DataFrame, labels: DataFrame, label: str = "toxic",
         learn: Column | None = None, rows: int = SAMPLE_ROWS,
     ) -> "ToxicityModel":
-        """Learn from at most ``rows`` labelled documents: 2/5 for the lexicon, 2/5 for
-        the trees, 1/5 for the calibration; the lexicon that scores is then learned
-        from all of them.  Without labels the fixed list alone counts.
+        """Learn from at most ``rows`` labelled documents in ``FOLDS`` folds.
+
+        The lexicon and the trees that score are learned from all of them.  Without
+        labels the fixed list alone counts.
         """
         learn = F.lit(True) if learn is None else learn
-        sample = materialize(labelled_sample(docs, labels, label, learn, rows), "labelled")
-        part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))
-        lexicon = learn_lexicon(sample.filter(part < 2))
+        part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(FOLDS)).cast("int")
+        sample = materialize(
+            labelled_sample(docs, labels, label, learn, rows).withColumn("part", part), "labelled"
+        )
+        lexica = Lexica(sample)
+        others = [lexica.learn(without=k) for k in range(FOLDS)]
         width = len(FEATURES)
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = features(batch.column("text").to_pylist(), lexicon)
+                parts = np.array(batch.column("part").to_pylist(), int)
+                texts = batch.column("text").to_pylist()
+                found = np.zeros((len(texts), width))
+                for k in np.unique(parts):
+                    mine = np.flatnonzero(parts == k)
+                    found[mine] = features([texts[i] for i in mine], others[k])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"), batch.column("label"), batch.column("part"),
@@ -331,18 +378,21 @@ class ToxicityModel:
                     ["doc_id", "label", "part", "features"],
                 )
 
-        measured = sample.filter(part >= 2).withColumn("part", part.cast("int")).mapInArrow(
+        measured = sample.select("doc_id", "label", "part", "text").mapInArrow(
             measure, "doc_id long, label int, part int, features array<double>"
         )
         found = sorted(measured.collect())  # bounded: ``rows`` rows of a few numbers
         x = np.array([r["features"] for r in found], float).reshape(-1, width)
         y = np.array([r["label"] for r in found], float)
-        last = np.array([r["part"] == 4 for r in found], bool)
-        trees = Trees().fit(x[~last], y[~last])
+        fold = np.array([r["part"] for r in found], int)
+        trees = Trees().fit(x, y)
         if not len(found):
             trees.base = -3.0
-        calibration = Isotonic().fit(trees.log_odds(x[last]), y[last]) if last.any() else Isotonic()
-        return cls(learn_lexicon(sample), trees, calibration)
+        odds = np.zeros(len(found))
+        for k in np.unique(fold):
+            odds[fold == k] = Trees().fit(x[fold != k], y[fold != k]).log_odds(x[fold == k])
+        calibration = Isotonic().fit(odds, y) if len(np.unique(fold)) > 1 else Isotonic()
+        return cls(lexica.learn(), trees, calibration)
 
     def score_texts(self, texts: list[str | None]) -> np.ndarray:
         return self.calibration(self.trees.log_odds(features(texts, self.lexicon)))

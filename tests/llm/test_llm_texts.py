@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from factfade.llm import licenses, quality, spotsigs, toxicity
 from factfade.llm.words import Words
 
-SF = "/root/testdata/sf0.1"  # a tenth holds too few toxic texts of some languages to learn from
+SF = "/root/testdata/sf0.1"
+SMALL = "/root/testdata/sf0.01"  # 37 toxic texts of four languages to learn from
 ANCHORS = set(spotsigs.ANCHORS)
 
 
@@ -131,6 +132,114 @@ def test_held_out_accuracy(spark, operator, label, folds, held):
     assert sum(r["predicted"] == r[label] for r in out) >= 0.97 * len(out)
 
 
+@pytest.mark.parametrize(
+    "operator, label, folder, auc, recall",
+    [
+        (quality, "quality", SF, 0.99, 0.95), (quality, "quality", SMALL, 0.99, 0.95),
+        (toxicity, "toxic", SF, 0.98, 0.9),
+        # What so few examples allow, as measured, not what is wanted.
+        (toxicity, "toxic", SMALL, 0.85, 0.6),
+    ],
+)
+def test_held_out_positives(spark, operator, label, folder, auc, recall):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    found = operator.classify(docs, labels).filter("held_out").join(labels, "doc_id").collect()
+    scores, y = np.array([r["score"] for r in found]), np.array([r[label] for r in found])
+    above = scores[y == 1][:, None] - scores[y == 0]
+    assert (above > 0).mean() + 0.5 * (above == 0).mean() >= auc
+    assert np.mean([r["predicted"] for r in found if r[label] == 1]) >= recall
+    assert np.mean([r["predicted"] for r in found if r[label] == 0]) <= 0.03
+
+
+def plain_features(text, lexicon):
+    """The features by loops over one text, from their names."""
+    words = (text or "").split()
+    n = max(len(words), 1)
+    out = dict.fromkeys(toxicity.FEATURES, 0.0)
+    hits, seconds = [], []
+    for at, word in enumerate(words):
+        bare = re.sub(r"^[\W_]+|[\W_]+$", "", word.lower())
+        hidden = bool(toxicity._SIGN_INSIDE.search(word) or toxicity._LONG_RUN.search(bare))
+        shown = toxicity.spelled(word, lexicon) if hidden else bare
+        known = shown in toxicity.INSULTS
+        weight = max([lexicon.get(k, 0.0) for k in toxicity.keys_of(shown)], default=0.0) if shown else 0.0
+        out["lexicon rate"] += known / n
+        out["lexicon words"] += known
+        out["learned rate"] += (weight > 0) / n
+        out["learned words"] += weight > 0
+        out["learned mean"] += weight / n
+        out["strongest"] = max(out["strongest"], weight)
+        out["second person"] += (bare in toxicity.SECOND_PERSON) / n
+        out["hidden spelling"] += hidden / n
+        out["hidden lexicon words"] += hidden and (known or weight > 0)
+        out["capitals"] += (len(word) > 1 and word.isupper()) / n
+        out["signs"] += (len(word) - len(bare)) / n
+        out["exclamations"] += word.count("!") / n
+        out["word length"] += len(word) / n
+        if known or weight > 0:
+            hits.append(at)
+        if bare in toxicity.SECOND_PERSON:
+            seconds.append(at)
+    out["near second person"] = sum(any(abs(a - b) <= toxicity.NEAR for b in seconds) for a in hits)
+    out["words"] = np.log1p(len(words))
+    return [out[name] for name in toxicity.FEATURES]
+
+
+def test_features_against_loops(spark):
+    lexicon = {"blork": 4.0, "grumb-": 3.5, "idiot": 3.2}
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").limit(300).collect()]
+    texts += [None, "", "  ", "you 1d10t!", "You are BLORK, grumbling you", "!!! ... 1", "shut up you l*o*s*e*r " * 50]
+    got = toxicity.features(texts, lexicon)
+    assert np.allclose(got, [plain_features(t, lexicon) for t in texts])
+
+
+def test_log_odds_follow_the_trees():
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 3))
+    trees = toxicity.Trees(rounds=9).fit(x, (x[:, 1] > 0.4).astype(float))
+
+    def walk(row):
+        total = trees.base
+        for levels, leaves in trees.trees:
+            node = 0
+            for splits in levels:
+                feature, at = splits[node]
+                node = 2 * node + (sum(e < row[feature] for e in trees.edges[feature]) > at)
+            total += leaves[node]
+        return total
+
+    assert np.allclose(trees.log_odds(x), [walk(row) for row in x])
+
+
+def test_quality_scores_against_loops():
+    rng = np.random.default_rng(4)
+    table, bias = rng.normal(size=1 << 10), 0.3
+    texts = ["one two two three", "", None, "été été x", "a" * 50, "the cat sat on the mat " * 40]
+
+    def plainly(text):
+        found, counts = quality.document_features(text, 1 << 10)
+        return 1 / (1 + np.exp(-(bias + (table[found] * counts).sum() / max(counts.sum(), 1))))
+
+    assert np.allclose(quality.score_texts(texts, table, bias), [plainly(t) for t in texts])
+
+
+def fold_rows(spark):
+    texts = [("blork now", 1), ("blork then", 1), ("fine day", 0), ("good day", 0), (None, 0)] * 10
+    rows = [(k, t, label, k // 5 % 5) for k, (t, label) in enumerate(texts)]
+    return spark.createDataFrame(rows + [(99, "zzz zzz", 1, 4)] * 4, "doc_id long, text string, label int, part int")
+
+
+def test_a_lexicon_leaves_its_fold_out(spark):
+    rows = fold_rows(spark)
+    lexica = toxicity.Lexica(rows)
+    assert set(lexica.learn()) == {"blork", "blor-", "zzz"}
+    assert set(lexica.learn(without=4)) == {"blork", "blor-"}
+    for k in (0, 4):
+        alone = toxicity.Lexica(rows.filter(F.col("part") != k)).learn()
+        assert lexica.learn(without=k) == pytest.approx(alone)
+    assert toxicity.Lexica(rows.filter("label = 0")).learn() == {}
+
+
 @pytest.mark.parametrize("operator, label", [(quality, "quality"), (toxicity, "toxic")])
 def test_awkward_rows_are_scored(spark, operator, label):
     docs = edges.documents(spark)
