@@ -224,9 +224,9 @@ def test_quality_scores_against_loops():
 
 
 def fold_rows(spark):
-    texts = [("blork now", 1), ("blork then", 1), ("fine day", 0), ("good day", 0), (None, 0)] * 10
+    texts = [("blork day", 1), ("day blork", 1), ("fine day", 0), ("good day", 0), (None, 0)] * 10
     rows = [(k, t, label, k // 5 % 5) for k, (t, label) in enumerate(texts)]
-    return spark.createDataFrame(rows + [(99, "zzz zzz", 1, 4)] * 4, "doc_id long, text string, label int, part int")
+    return spark.createDataFrame(rows + [(99, "zzz zzz", 1, 4)] * 12, "doc_id long, text string, label int, part int")
 
 
 def test_a_lexicon_leaves_its_fold_out(spark):
