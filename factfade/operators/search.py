@@ -564,11 +564,8 @@ def recall_grouped(ranked: DataFrame, compact: bool = False) -> DataFrame:
     )
 
 
-def touch(mem: Memory, returned: DataFrame, as_of) -> DataFrame:
-    """Observations after a read: +1 access for each time a visible row was returned.
-
-    ``returned`` has a column ``id`` and may name a row several times.
-    """
+def counted_accesses(mem: Memory, returned: DataFrame, as_of) -> DataFrame:
+    """(id, _times): how often each visible row was returned, rows not returned left out."""
     times = returned.groupBy("id").agg(F.count(F.lit(1)).alias("_times"))
     seen = live_observations(
         Memory(
@@ -576,7 +573,16 @@ def touch(mem: Memory, returned: DataFrame, as_of) -> DataFrame:
         ),
         as_of,
     ).select("id")
-    counted = times.join(seen, "id")
+    return times.join(seen, "id")
+
+
+def touch(mem: Memory, returned: DataFrame, as_of) -> DataFrame:
+    """Observations after a read: +1 access for each time a visible row was returned.
+
+    ``returned`` has a column ``id`` and may name a row several times.  ``marks.Marks``
+    writes the counts alone.
+    """
+    counted = counted_accesses(mem, returned, as_of)
     columns = mem.observations.columns
     return (
         mem.observations.join(counted, "id", "left")

@@ -365,20 +365,25 @@ def relate(mem: Memory, edges: DataFrame, as_of) -> Write:
     return Write(after, result, appended={"relations": rows}, rewritten={"entities": entities})
 
 
+def forgotten_rows(mem: Memory, ids: DataFrame) -> DataFrame:
+    """(id, owner_live) of the asked rows that are not deleted yet."""
+    owners = mem.entities.select(
+        F.col("id").alias("entity_id"), F.col("deleted_at").isNull().alias("owner_live")
+    )
+    return (
+        mem.observations.filter(F.col("deleted_at").isNull()).select("id", "entity_id")
+        .join(ids, "id", "left_semi").join(owners, "entity_id").select("id", "owner_live")
+    )
+
+
 def forget_observations(mem: Memory, ids: DataFrame, as_of) -> Write:
     """Rows marked deleted and their vectors dropped; result (id, deleted).
 
     A row of a deleted entity is cleaned up too, but the answer is no.
     """
     ids = ids.select("id").distinct()
-    owners = mem.entities.select(
-        F.col("id").alias("entity_id"), F.col("deleted_at").isNull().alias("owner_live")
-    )
-    hit = (
-        mem.observations.filter(F.col("deleted_at").isNull()).select("id", "entity_id")
-        .join(ids, "id", "left_semi").join(owners, "entity_id")
-    )
-    result = ids.join(hit.select("id", "owner_live"), "id", "left").select(
+    hit = forgotten_rows(mem, ids)
+    result = ids.join(hit, "id", "left").select(
         "id", F.coalesce("owner_live", F.lit(False)).alias("deleted")
     )
     observations = _mark_deleted(mem.observations, hit.select("id"), as_of)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from factfade.plans.registry import ORACLES, QUERIES, Query
 
-_SECTIONS = ("core", "recall", "cleaning", "similar", "writing", "log")
+_SECTIONS = ("core", "recall", "cleaning", "similar", "writing", "log", "marked")
 
 
 def _load() -> None:
