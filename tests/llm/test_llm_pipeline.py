@@ -51,7 +51,8 @@ def reread(spark, df, folder):
 
 def test_stages_against_brute_force(spark, tmp_path):
     """Each stage is held against plain loops over the rows that it was given."""
-    from test_llm_simhash import components, slow_simhash
+    from test_llm_nearcopies import alike, groups, slow_wide
+    from test_llm_simhash import slow_simhash
 
     docs = q.table(spark, SF, "documents")
     columns = docs.columns
@@ -73,11 +74,11 @@ def test_stages_against_brute_force(spark, tmp_path):
         largest[r["text"]] = max(largest.get(r["text"], -1), r["doc_id"])
     assert sorted(r["doc_id"] for r in after) == sorted(largest.values())
     before, after = given["near copies"]
-    fps = {r["doc_id"]: slow_simhash(r["text"]) for r in before}
-    label = components(fps.values(), 4)
-    lowest = {}
-    for doc_id, fp in fps.items():
-        lowest[label[fp]] = min(lowest.get(label[fp], doc_id), doc_id)
+    fps = {r["doc_id"]: (slow_simhash(r["text"]), slow_wide(r["text"])) for r in before}
+    label = groups(
+        fps, lambda a, b: (fps[a][0] ^ fps[b][0]).bit_count() <= 4 or alike(fps[a][1], fps[b][1])
+    )
+    lowest = {low: low for low in label.values()}
     assert sorted(r["doc_id"] for r in after) == sorted(lowest.values())
     before, after = given["mixing"]
     words = sum(len(r["text"].split()) for r in before)
