@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from factfade.llm import queries as q
 from factfade.llm.exact import deduplicate, split_by_age
 from factfade.llm.mixing import mix
+from factfade.llm.nearcopies import near_copies
 from factfade.llm.packing import pack_documents
 from factfade.llm.quality import QualityModel
-from factfade.llm.simhash import near_duplicates, removed
+from factfade.llm.simhash import removed
 from factfade.session import configure, materialize
 
 LEAST_QUALITY = 0.3
@@ -53,9 +54,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that of the smallest doc_id."""
+    """One document of each group of near copies: that of the smallest doc_id.
+
+    Links are those of op7 (4 of 64 bits over four-word shingles) and an estimated Jaccard
+    similarity of 0.8 over five-word shingles (SimHash of 256 bits).
+    """
     away_id, away_hash = _free(docs, "_away_id"), _free(docs, "_away_hash")
-    away = materialize(removed(near_duplicates(docs)), "near-copies").select(
+    away = materialize(removed(near_copies(docs)), "near-copies").select(
         F.col("doc_id").alias(away_id), F.col("text_hash").alias(away_hash)
     )
     text_hash = F.xxhash64(docs["text"].cast("string"))
