@@ -1,9 +1,9 @@
 """Near copies at a Jaccard similarity of 0.8 over five-word shingles, by wide SimHash.
 
 Four bits of 64 hold copies of about 0.96 only, and no pigeonhole over 64 bits reaches
-0.8 with selective keys.  Here a text has a SimHash of 256 bits over the set of its
+0.8 with selective keys.  Here a text has a SimHash of 512 bits over the set of its
 shingles.  The share of differing bits estimates the angle of two sets and, with their
-sizes, their Jaccard similarity (standard error about 0.05 at 0.8); ``LEAST`` lies under 0.8
+sizes, their Jaccard similarity (standard error about 0.04 at 0.8); ``LEAST`` lies under 0.8
 so that few pairs above 0.8 are lost.
 
 Which texts meet: each text names the ``SKETCH`` smallest hashes of its shingles, the
@@ -11,7 +11,7 @@ same choice in every text, so that alike texts name mostly the same ones.  They
 ordered by the number of texts that name them, rare ones first.  Two sketches of ``m``
 hashes that share ``SHARED * m`` of them have a common one among their first
 ``m - SHARED * m + 1``, so only those are keys.  Lines and passages of many documents rank last.
-What meets under a key is compared by the 256 bits, and only a spanning forest of the
+What meets under a key is compared by the 512 bits, and only a spanning forest of the
 links leaves the task.
 """
 
@@ -34,8 +34,8 @@ SHINGLE = 5
 SEED = 42
 SKETCH = 32
 SHARED = 0.6
-LEAST = 0.72
-WIDE = 4  # 64-bit words of a fingerprint
+LEAST = 0.75
+WIDE = 8  # 64-bit words of a fingerprint
 _STEP = 0x9E3779B97F4A7C15
 _SMALL = 24
 _CHUNK = 1 << 14
@@ -60,7 +60,7 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """256 bits as four numbers: a bit is 1 where it is set in over half the hashes."""
+    """512 bits as eight numbers: a bit is 1 where it is set in over half the hashes."""
     counts = np.zeros(64 * WIDE, np.int64)
     steps = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(_STEP)
     for at in range(0, len(hashes), _CHUNK):
@@ -79,7 +79,7 @@ def likeness(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarra
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(text_hash, n, w0..w3, keys) of each different text that has words.
+    """(text_hash, n, w0..w7, keys) of each different text that has words.
 
     ``n`` is the number of different shingles.
     """
@@ -161,7 +161,7 @@ def _forest(wide: np.ndarray, size: np.ndarray, least: float) -> tuple[list, lis
 
 
 def links(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """(a, b) of texts (place, text_hash, n, w0..w3) that meet and are alike, enough to
+    """(a, b) of texts (place, text_hash, n, w0..w7) that meet and are alike, enough to
     connect all that are."""
 
     def compare(place: np.ndarray, ids: np.ndarray, size: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:

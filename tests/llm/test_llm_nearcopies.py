@@ -34,7 +34,7 @@ def spread(x):
 def slow_wide(text):
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text)]
     out = 0
-    for k in range(4):
+    for k in range(8):
         words = [spread(h + (k + 1) * 0x9E3779B97F4A7C15 & MASK) for h in hashes]
         for bit in range(64):
             out |= (2 * sum(w >> bit & 1 for w in words) > len(words)) << (64 * k + bit)
@@ -44,7 +44,7 @@ def slow_wide(text):
 def alike(a, b, least=nc.LEAST):
     if not a[1] or not b[1]:
         return False
-    shared = math.cos(math.pi * (a[0] ^ b[0]).bit_count() / 256) * math.sqrt(a[1] * b[1])
+    shared = math.cos(math.pi * (a[0] ^ b[0]).bit_count() / 512) * math.sqrt(a[1] * b[1])
     shared = min(shared, a[1], b[1])
     return shared / (a[1] + b[1] - shared) >= least
 
