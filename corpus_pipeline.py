@@ -57,7 +57,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies: that of the smallest doc_id.
 
     Links are those of op7 (4 of 64 bits over four-word shingles) and an estimated Jaccard
-    similarity of 0.8 over five-word shingles (SimHash of 256 bits).
+    similarity of 0.8 over five-word shingles (SimHash of 512 bits).
     """
     away_id, away_hash = _free(docs, "_away_id"), _free(docs, "_away_hash")
     away = materialize(removed(near_copies(docs)), "near-copies").select(
