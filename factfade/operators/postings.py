@@ -13,6 +13,9 @@ replaces its folder.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +40,9 @@ BUCKETS = 64
 BLOCK_ROWS = 128
 
 _ENTRY = "struct<obs_id:bigint,entity_id:bigint,row_tokens:int,at:array<int>>"
-_BLOCKS = (
-    f"token string, peak double, mean double, n int, entries array<{_ENTRY}>, "
-    "batch int, token_bucket int"
-)
+_CUT = f"token string, peak double, mean double, n int, entries array<{_ENTRY}>"
+_BLOCKS = f"{_CUT}, batch int, token_bucket int"
+_PLACES = "obs_id long, entity_id long, row_tokens int, token string, tf int, at binary"
 _COUNTS = "token string, n long, batch int, token_bucket int"
 _TOTALS = "n_rows long, all_tokens long, batch int"
 
@@ -75,6 +77,89 @@ def _saturation(tf: Column, row_tokens: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * row_tokens / F.lit(mean)))
 
 
+def _places(batches):
+    """One row per word of a row, with its places: words meet in the row they stand in."""
+    for batch in batches:
+        words = batch["words"]
+        length = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(words)), length)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+        coded = words.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((at, code, row))
+        row, code, at = row[order], code[order], at[order].astype("<i4")
+        first = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(code, prepend=-1))
+        tf = np.diff(first, append=len(row))
+        offsets = pa.array(4 * np.append(first, len(row)), pa.int32())
+        places = pa.Array.from_buffers(
+            pa.binary(), len(first), [None, offsets.buffers()[1], pa.py_buffer(at.tobytes())]
+        )
+        of_row = pa.array(row[first])
+        out = pa.RecordBatch.from_pydict({
+            "obs_id": batch["obs_id"].take(of_row), "entity_id": batch["entity_id"].take(of_row),
+            "row_tokens": batch["row_tokens"].take(of_row).cast(pa.int32()),
+            "token": coded.dictionary.take(pa.array(code[first])).cast(pa.string()),
+            "tf": pa.array(tf, pa.int32()), "at": places,
+        })
+        yield out.filter(pc.not_equal(out["token"], _FIELD_BREAK))
+
+
+def _cut_blocks(mean: float):
+    """Entries in order to blocks of at most BLOCK_ROWS of one token."""
+    fields = ("obs_id", "entity_id", "row_tokens", "at")
+
+    def blocks(entries: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
+        bounds = np.append(cut, len(entries))
+        entries = entries.combine_chunks()
+        columns = {c: _one(entries[c]) for c in entries.column_names}
+        places = columns["at"]
+        sizes = pc.binary_length(places).to_numpy(zero_copy_only=False) // 4
+        at = pa.ListArray.from_arrays(
+            pa.array(np.append(0, np.cumsum(sizes)), pa.int32()),
+            pa.array(np.frombuffer(b"".join(places.to_pylist()), "<i4")),
+        )
+        rows = pa.StructArray.from_arrays([*(columns[c] for c in fields[:-1]), at], names=list(fields))
+        starts = pa.array(cut)
+        return pa.RecordBatch.from_pydict({
+            "token": columns["token"].take(starts),
+            "peak": pa.array(-columns["heavy"].take(starts).to_numpy()),
+            "mean": pa.array(np.full(len(cut), mean)),
+            "n": pa.array(np.diff(bounds), pa.int32()),
+            "entries": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows),
+            "token_bucket": columns["token_bucket"].take(starts),
+        })
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            if not len(held):
+                continue
+            # The last block may go on in the next batch.
+            cut = _block_starts(_one(held["token"].combine_chunks()))
+            if len(cut) > 1:
+                yield blocks(held.slice(0, int(cut[-1])), cut[:-1])
+                held = held.slice(int(cut[-1]))
+        if held is not None and len(held):
+            yield blocks(held, _block_starts(_one(held["token"].combine_chunks())))
+
+    return run
+
+
+def _one(column):
+    """A column in one piece."""
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _block_starts(token: pa.Array) -> np.ndarray:
+    """Where a token begins, and every BLOCK_ROWS entries after that."""
+    n = len(token)
+    new = np.append(True, pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False))
+    since = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    return np.flatnonzero(since % BLOCK_ROWS == 0)
+
+
 class TextIndex:
     """The index of one scope at a path all executors can reach."""
 
@@ -98,37 +183,24 @@ class TextIndex:
     def add(self, observations: DataFrame, entities: DataFrame, batch: int) -> None:
         """Index new rows; rows that are deleted already are left out."""
         rows = materialize(_rows(observations, entities), "index-rows")
-        entries = (
-            rows.select("obs_id", "entity_id", "row_tokens", F.posexplode("words").alias("at", "token"))
-            .filter(F.col("token") != _FIELD_BREAK)
-            .groupBy("token", "obs_id", "entity_id", "row_tokens")
-            .agg(F.sort_array(F.collect_list("at")).alias("at"))
-            .withColumn("token_bucket", _bucket(F.col("token"), self.buckets))
-        )
         mean = float(rows.agg(F.avg("row_tokens")).first()[0] or 0.0) or 1.0
-        placed = materialize(
-            entries.withColumn("heavy", -_saturation(F.size("at"), F.col("row_tokens"), mean))
-            .repartitionByRange("token_bucket", "token", "heavy", "obs_id")
-            .withColumn("part", F.spark_partition_id()),
-            "index-entries",
+        # Dealt once, in the order of the blocks: bucket, token, weight.  Blocks are cut
+        # where they lie, so a common word is many tasks and entries move a single time.
+        entries = rows.mapInArrow(_places, _PLACES).select(
+            _bucket(F.col("token"), self.buckets).alias("token_bucket"), "token",
+            (-_saturation(F.col("tf"), F.col("row_tokens"), mean)).alias("heavy"),
+            "obs_id", "entity_id", "row_tokens", "at",
         )
-        inside = Window.partitionBy("token_bucket", "token", "part").orderBy("heavy", "obs_id")
+        order = ["token_bucket", "token", "heavy", "obs_id"]
         blocks = (
-            placed.withColumn("block", F.floor((F.row_number().over(inside) - 1) / BLOCK_ROWS))
-            .groupBy("token_bucket", "token", "part", "block")
-            .agg(
-                (-F.min("heavy")).alias("peak"), F.lit(mean).alias("mean"),
-                F.count(F.lit(1)).cast("int").alias("n"),
-                F.collect_list(F.struct("obs_id", "entity_id", "row_tokens", "at")).alias("entries"),
-            )
-            .drop("part", "block")
+            entries.repartitionByRange(*order).sortWithinPartitions(*order)
+            .mapInArrow(_cut_blocks(mean), f"{_CUT}, token_bucket int")
         )
-        # Files of one bucket in order of the token: their statistics tell tokens apart.
-        self._put(
-            blocks.repartitionByRange("token_bucket", "token")
-            .sortWithinPartitions("token_bucket", "token"), "blocks", batch,
+        self._put(blocks, "blocks", batch)
+        counts = (
+            self._table("blocks", _BLOCKS).filter(F.col("batch") == batch)
+            .groupBy("token_bucket", "token").agg(F.sum("n").alias("n"))
         )
-        counts = placed.groupBy("token_bucket", "token").agg(F.count(F.lit(1)).alias("n"))
         self._put(counts.repartition("token_bucket"), "counts", batch)
         self._put(_totals(rows, 1), "totals", batch, by_bucket=False)
 

@@ -1,6 +1,8 @@
 import random
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from build import NOW, ent, facts, memory, obs, queries, values
 from pyspark.sql import functions as F
 
@@ -172,3 +174,42 @@ def test_an_empty_store(spark, tmp_path):
     index = TextIndex.build(mem, str(tmp_path), buckets=4)
     same_hits(spark, index, mem)
     assert values(search.recall(queries(spark, ("the", 3)), mem, NOW, 12, index), "obs_id") == []
+
+
+def test_places_of_the_words_of_a_row():
+    words = [["a", "b", "|", "a", "|"], [], ["|", "é", "|", "é", "é", "a"]]
+    batch = pa.RecordBatch.from_pydict({
+        "obs_id": [1, 2, 3], "entity_id": [7, 7, 8], "row_tokens": pa.array([3, 0, 4], pa.int32()),
+        "words": pa.array(words, pa.list_(pa.string())),
+    })
+    got = [
+        (r["obs_id"], r["entity_id"], r["row_tokens"], r["token"], r["tf"], np.frombuffer(r["at"], "<i4").tolist())
+        for out in postings._places([batch.slice(0, 2), batch.slice(2), batch.slice(0, 0)]) for r in out.to_pylist()
+    ]
+    want = [(1, 7, 3, "a", 2, [0, 3]), (1, 7, 3, "b", 1, [1]), (3, 8, 4, "a", 1, [5]), (3, 8, 4, "é", 3, [1, 3, 4])]
+    assert sorted(got) == want
+
+
+def test_blocks_are_cut_where_they_lie(monkeypatch):
+    """Blocks go on from batch to batch and end with their token."""
+    monkeypatch.setattr(postings, "BLOCK_ROWS", 3)
+    r = random.Random(5)
+    rows = [
+        {"token_bucket": 1, "token": t, "heavy": -float(9 - i), "obs_id": i, "entity_id": 1, "row_tokens": i,
+         "at": np.arange(r.randint(1, 3), dtype="<i4").tobytes()}
+        for t, n in (("a", 7), ("b", 3), ("c", 1), ("d", 4)) for i in range(n)
+    ]
+    want = []
+    for t in "abcd":
+        own = [x for x in rows if x["token"] == t]
+        for i in range(0, len(own), 3):
+            part = own[i : i + 3]
+            want.append((t, -part[0]["heavy"], len(part), [
+                (x["obs_id"], x["row_tokens"], np.frombuffer(x["at"], "<i4").tolist()) for x in part]))
+    for size in (1, 2, 5, 100):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + size]) for i in range(0, len(rows), size)]
+        got = [
+            (b["token"], b["peak"], b["n"], [(e["obs_id"], e["row_tokens"], e["at"]) for e in b["entries"]])
+            for out in postings._cut_blocks(2.0)(batches) for b in out.to_pylist()
+        ]
+        assert got == want
