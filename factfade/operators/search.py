@@ -36,7 +36,13 @@ from factfade.operators.substrings import (
     match_substrings,
     word_heads,
 )
-from factfade.operators.textindex import best_rows, phrase_hits, text_weights
+from factfade.operators.textindex import (
+    RANK_DECIMALS,
+    best_rows,
+    exact_sum,
+    phrase_hits,
+    text_weights,
+)
 from factfade.operators.visibility import (
     active_events,
     live_entities,
@@ -611,7 +617,10 @@ def text_match_ids(
     ranked = materialize(
         terms.join(weights, "phrase")
         .groupBy("query_id", "obs_id")
-        .agg(F.round(-F.sum(F.col("weight") * F.col("times")), 9).alias("text_rank")),
+        .agg(
+            F.round(-exact_sum(F.col("weight") * F.col("times")), RANK_DECIMALS).cast("double")
+            .alias("text_rank")
+        ),
         "text-ranks",
     )
     numbered = number_rows(ranked, [F.col(c) for c in ("query_id", "text_rank", "obs_id")], "no")

@@ -129,15 +129,22 @@ def phrase_hits(mem: Memory, as_of, phrases: DataFrame) -> DataFrame:
         # only true occurrences leave it.
         hits = each.join(F.broadcast(wanted), "token").filter(found)
         is_mark = F.col("phrase") == _ROW_MARK
+        none = phrases.sparkSession.range(1).select(  # an empty index has no rows to count
+            F.lit(_ROW_MARK).alias("phrase"), F.lit(None).cast("long").alias("obs_id"),
+            F.lit(None).cast("long").alias("entity_id"), F.lit(None).cast("boolean").alias("live"),
+            F.lit(0).alias("row_tokens"), F.lit(0).alias("times"),
+        )
         hits = (
-            hits.groupBy(
+            hits.select("phrase", "obs_id", "entity_id", "live", "row_tokens", F.lit(1).alias("times"))
+            .unionByName(none)
+            .groupBy(
                 "phrase",
                 F.when(~is_mark, F.col("obs_id")).alias("obs_id"),
                 F.when(~is_mark, F.col("entity_id")).alias("entity_id"),
                 F.when(~is_mark, F.col("live")).alias("live"),
             )
             .agg(
-                F.count(F.lit(1)).alias("tf"), F.max("row_tokens").alias("row_tokens"),
+                F.sum("times").alias("tf"), F.max("row_tokens").alias("row_tokens"),
                 F.sum("row_tokens").alias("all_tokens"),
             )
         )
@@ -195,6 +202,15 @@ def text_weights(hits: DataFrame) -> DataFrame:
     )
 
 
+def exact_sum(weight: Column) -> Column:
+    """The sum of weights as a decimal: rows with the same words tie in any order of adding.
+
+    Sums of doubles differ in their last digits with the order in which a shuffle brings
+    the terms, which moves a rounded rank and so the place of a copy among its like.
+    """
+    return F.sum(weight.cast("decimal(38,18)"))
+
+
 def best_rows(
     terms: DataFrame, weights: DataFrame, most: int, group: Column, margin: float = _SLACK
 ) -> DataFrame:

@@ -213,3 +213,10 @@ def test_blocks_are_cut_where_they_lie(monkeypatch):
             for out in postings._cut_blocks(2.0)(batches) for b in out.to_pylist()
         ]
         assert got == want
+
+
+def test_sums_do_not_depend_on_the_order_of_terms(spark):
+    terms = [(k, w) for k, order in ((1, (0.1, 0.2, 0.3)), (2, (0.3, 0.2, 0.1))) for w in order]
+    df = spark.createDataFrame(terms, "key int, weight double").coalesce(1)
+    by_key = df.groupBy("key").agg(F.sum("weight").alias("plain"), textindex.exact_sum(F.col("weight")).alias("exact"))
+    assert len(set(values(by_key, "plain"))) == 2 and len(set(values(by_key, "exact"))) == 1
