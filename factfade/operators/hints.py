@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factfade.functions.text import ascii_lower, compact_snippet, query_terms, trim_white
 from factfade.model import Memory
+from factfade.operators.allrows import best_rows_of_all
 from factfade.operators.postings import TextIndex
 from factfade.operators.search import (
     cap_candidates,
@@ -52,12 +53,12 @@ def conflict_hints(
     phrases = single.select("phrase").unionByName(whole.select("phrase")).distinct()
     weights = text_weights(hits_of(phrases, mem, as_of, index))
 
-    def by_text(terms: DataFrame, step: int, channel: str) -> DataFrame:
+    def by_text(terms: DataFrame, step: int, channel: str, best) -> DataFrame:
         keyed = terms.join(owner, "query_id").select(
             F.col("query_id").alias("key"), F.col("entity_id").alias("grp"), "phrase", "times",
             F.col("collect").alias("keep"),
         )
-        return best_rows(keyed, weights, MOST_HITS, F.col("entity_id")).select(
+        return best(keyed, weights, MOST_HITS, F.col("entity_id")).select(
             F.col("key").alias("query_id"), F.lit(step).alias("step"),
             F.lit(channel).alias("channel"), "obs_id", "position",
             F.col("position").alias("fts_pos"),
@@ -73,7 +74,9 @@ def conflict_hints(
         .select(F.col("id").alias("obs_id"), "entity_id", ascii_lower(F.col("content")).alias("text"))
     )
     texts = materialize(
-        by_text(whole, PHRASE, "fts_phrase").unionByName(by_text(single, ANY_TERM, "fts")),
+        by_text(whole, PHRASE, "fts_phrase", best_rows)
+        # All words of a fact: they meet nearly all rows of the entity.
+        .unionByName(by_text(single, ANY_TERM, "fts", best_rows_of_all)),
         "hint-texts",
     )
     caps = asked.select("query_id", F.lit(MOST_CANDIDATES).alias("cap"))
