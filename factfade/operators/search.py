@@ -27,6 +27,7 @@ from factfade.functions.text import (
     trim_white,
 )
 from factfade.model import Memory
+from factfade.operators.allrows import best_rows_of_all
 from factfade.operators.ordering import number_rows
 from factfade.operators.postings import TextIndex
 from factfade.operators.substrings import (
@@ -116,13 +117,13 @@ def whole_phrases(prepared: DataFrame, terms: Column) -> DataFrame:
 
 
 def _text_channel(
-    terms: DataFrame, weights: DataFrame, step: int, channel: str, most: int
+    terms: DataFrame, weights: DataFrame, step: int, channel: str, most: int, best
 ) -> DataFrame:
     keyed = terms.select(
         F.col("query_id").alias("key"), F.lit(0).alias("grp"), "phrase", "times",
         F.col("collect").alias("keep"),
     )
-    return best_rows(keyed, weights, most, F.lit(0)).select(
+    return best(keyed, weights, most, F.lit(0)).select(
         F.col("key").alias("query_id"), F.lit(step).alias("step"), F.lit(channel).alias("channel"),
         "obs_id", "position", F.col("position").alias("fts_pos"),
     )
@@ -142,14 +143,15 @@ def fts_any_term_indexed(prepared: DataFrame, index: TextIndex, mem: Memory, as_
 def fts_any_term(prepared: DataFrame, weights: DataFrame) -> DataFrame:
     """Rows with any term in any field, best text rank first."""
     return _text_channel(
-        term_phrases(prepared), weights, ANY_TERM, "fts", most_hits(prepared)
+        term_phrases(prepared), weights, ANY_TERM, "fts", most_hits(prepared), best_rows_of_all
     )
 
 
 def fts_phrase(prepared: DataFrame, weights: DataFrame) -> DataFrame:
     """Rows with all terms next to each other in one field."""
     return _text_channel(
-        whole_phrases(prepared, F.col("terms")), weights, PHRASE, "fts_phrase", most_hits(prepared)
+        whole_phrases(prepared, F.col("terms")), weights, PHRASE, "fts_phrase", most_hits(prepared),
+        best_rows,
     )
 
 

@@ -1,10 +1,10 @@
 import random
 
 import pytest
-from build import NOW, ent, memory, obs, values
+from build import NOW, ent, memory, obs, queries, values
 from pyspark.sql import functions as F
 
-from factfade.operators import allrows, hints, textindex
+from factfade.operators import allrows, hints, search, textindex
 
 
 @pytest.mark.parametrize("entries", [40, 1 << 18])
@@ -65,3 +65,38 @@ def test_hints_of_facts_that_share_their_words_write_no_pairs(spark, monkeypatch
         monkeypatch.setattr(module, "materialize", counted)
     assert hints.conflict_hints(facts, mem, NOW, 12).count() >= n
     assert max(written.values()) <= 20 * n < n * n  # all pairs: 14,400 rows and more
+
+
+def test_any_term_search_writes_no_pairs_of_query_and_row(spark, monkeypatch):
+    n, words = 90, [f"w{k}" for k in range(8)]
+    r = random.Random(5)
+    texts = [" ".join(r.sample(words, 6)) for _ in range(n)]
+    mem = memory(
+        spark, entities=[ent(1, "A")], observations=[obs(k + 1, 1, t) for k, t in enumerate(texts)]
+    )
+    prepared = search.prepare_queries(queries(spark, *[(t, 2) for t in texts]))
+    weights = search.search_weights(prepared, mem, NOW)
+    best = values(textindex_any(prepared, weights), "query_id", "obs_id", "position")
+    written = []
+    real = textindex.materialize
+
+    def counted(df, label, partition_by=()):
+        out = real(df, label, partition_by)
+        written.append(out.count())
+        return out
+
+    for module in (textindex, allrows):
+        monkeypatch.setattr(module, "materialize", counted)
+    got = search.fts_any_term(prepared, weights)
+    assert sorted(values(got, "query_id", "obs_id", "position")) == sorted(best)
+    assert max(written) <= 7 * n < n * n
+
+
+def textindex_any(prepared, weights):
+    """The same search by the bounds of ``textindex.best_rows``."""
+    keyed = search.term_phrases(prepared).select(
+        F.col("query_id").alias("key"), F.lit(0).alias("grp"), "phrase", "times",
+        F.col("collect").alias("keep"),
+    )
+    found = textindex.best_rows(keyed, weights, search.most_hits(prepared), F.lit(0))
+    return found.withColumnRenamed("key", "query_id")
