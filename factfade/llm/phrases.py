@@ -272,6 +272,7 @@ class Slice:
         self.left, self.right = pairs // self.size, pairs % self.size
         self.h2 = _joined(self.h1[self.left], self.h1[self.right])
         self.step2 = self.reached[2].step_of(short(self.h2, self.shift))
+        self.seen2 = np.maximum(self.step2, np.maximum(self.step1[self.left], self.step1[self.right]))
 
     def count_pairs(self) -> np.ndarray:
         return np.bincount(self.pair, minlength=len(self.left))
@@ -280,7 +281,8 @@ class Slice:
         """(first pair, second pair, count) of triples; ``wanted`` picks by their start."""
         next_to = np.flatnonzero(np.diff(self.at) == 1)  # pairs that share a word
         first, second = self.pair[next_to], self.pair[next_to + 1]
-        start = np.maximum(self.step2[first], self.step2[second])
+        # A filter may hold a pair by mistake before its words are reached and scans see it.
+        start = np.maximum(self.seen2[first], self.seen2[second])
         live = (start < NEVER) if wanted is None else wanted(start + 1)
         first, second = first[live].astype(np.int64), second[live]
         _, one, n = np.unique(

@@ -80,6 +80,25 @@ def test_awkward_texts(spark):
     assert found(spark, rows, 3) == brute(rows, 3)
 
 
+def test_a_pair_that_a_filter_holds_by_mistake(spark):
+    """Triples begin no earlier than their words are reached, else their cycle lacks shards.
+
+    The filter of pairs at step 1 is full, the rare words are reached at step 3 only.
+    """
+    common = [f"c{k}" for k in range(64)]
+    every = ". ".join(f"{a} {b}" for a in common for b in common) + "."
+    rare = [f"r{k} c0 c1." for k in range(5000)]
+    shards = [
+        [" ".join(common)] * 10 + rare * 3, [every] * 10 + rare * 3, rare * 3, rare,
+    ]
+    docs = spark.createDataFrame(
+        spark.sparkContext.parallelize([(" ".join(s), "en") for s in shards], 4), "text string, lang string"
+    )
+    counted, _ = phrases.count_phrases(docs)
+    got = counted.filter("words = 3 and phrase like 'r%'")
+    assert got.count() == len(rare) and got.filter("n <> 10").isEmpty()
+
+
 def test_limit_and_ties(spark):
     rows = [(f"w{k} v{k}", "en") for k in range(50) for _ in range(3)]
     got = found(spark, rows, 3, most=7)
