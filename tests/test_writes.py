@@ -126,6 +126,24 @@ def test_the_newest_copy_is_kept(spark):
     assert values(proposal.sources, "source_id") == [(1,)]
 
 
+def test_texts_are_not_dealt_by_entity(spark, monkeypatch, capsys):
+    """Digests are taken before any join: one entity may hold most of the texts."""
+    seen, write = {}, cleanup.materialize
+
+    def noted(df, label, **more):
+        capsys.readouterr()
+        df.explain("extended")
+        seen[label] = capsys.readouterr().out.split("Optimized Logical Plan")[1].split("Physical Plan")[0]
+        return write(df, label, **more)
+
+    monkeypatch.setattr(cleanup, "materialize", noted)
+    cleanup.propose_duplicates(copies(spark), NOW)
+    lines = seen["digests"].splitlines()
+    joins = [k for k, line in enumerate(lines) if "Join " in line]
+    assert joins and all(k > max(joins) for k, line in enumerate(lines) if "sha2(" in line)
+    assert any("sha2(" in line for line in lines)
+
+
 def test_old_copies_of_recent_entities_count(spark):
     mem = copies(spark, also=[obs(5, 1, "same", created_at=ago(days=400))])
     proposal = cleanup.propose_duplicates(mem, NOW, since_days=1)
