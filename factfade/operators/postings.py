@@ -341,6 +341,12 @@ class TextIndex:
             .select("phrase", "obs_id", "entity_id", "row_tokens", "tf")
         )
 
+    def weights(self, terms: DataFrame, mem: Memory, as_of) -> DataFrame:
+        """(phrase, obs_id, weight) of all visible rows with the phrases of ``terms``."""
+        live = materialize(live_observations(mem, as_of).select(F.col("id").alias("obs_id")), "live")
+        search = _Search(self, terms, live)
+        return search.weights(search.blocks).unionByName(search.phrase_weights(mem, as_of))
+
     # Top-k
 
     def best_rows(self, terms: DataFrame, mem: Memory, as_of, most: int) -> DataFrame:

@@ -59,6 +59,8 @@ ALWAYS_RUN = 3
 
 # Steps of a term channel that are looked up before it is known whether later ones run.
 EARLY_STEPS = 8
+#: Words of a query, on average, from which on a batch adds up all stored rows of its words.
+LONG_TEXT = 8
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -130,11 +132,19 @@ def _text_channel(
 
 
 def fts_any_term_indexed(prepared: DataFrame, index: TextIndex, mem: Memory, as_of) -> DataFrame:
-    """``fts_any_term`` from stored blocks, of which only those that can matter are opened."""
-    terms = term_phrases(prepared).select(
+    """``fts_any_term`` from stored blocks, of which only those that can matter are opened.
+
+    Of long texts nearly all blocks matter: their words are read once and added up whole.
+    """
+    terms = materialize(term_phrases(prepared), "indexed-terms")
+    size = terms.agg(F.count(F.lit(1)).alias("words"), F.count_distinct("query_id").alias("keys")).first()
+    if size["words"] > LONG_TEXT * size["keys"]:
+        weights = index.weights(terms, mem, as_of)
+        return _text_channel(terms, weights, ANY_TERM, "fts", most_hits(prepared), best_rows_of_all)
+    keyed = terms.select(
         F.col("query_id").alias("key"), "phrase", "times", F.col("collect").alias("keep")
     )
-    return index.best_rows(terms, mem, as_of, most_hits(prepared)).select(
+    return index.best_rows(keyed, mem, as_of, most_hits(prepared)).select(
         F.col("key").alias("query_id"), F.lit(ANY_TERM).alias("step"),
         F.lit("fts").alias("channel"), "obs_id", "position", F.col("position").alias("fts_pos"),
     )

@@ -155,6 +155,24 @@ def test_rows_of_a_common_word_grow_with_k_and_not_with_the_word(spark, tmp_path
     assert opened[0] <= 512 and opened[1] <= 1024
 
 
+def test_long_texts_are_added_up_from_the_index_without_bounds(spark, tmp_path, monkeypatch):
+    def refused(*_):
+        raise AssertionError("blocks of long texts are not opened by bounds")
+
+    monkeypatch.setattr(TextIndex, "best_rows", refused)
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    rows = [obs(i, 1, " ".join(r.choices(words, k=r.randint(1, 30)))) for i in range(1, 600)]
+    mem = memory(spark, entities=[ent(1, "A")], observations=rows)
+    index = TextIndex.build(mem, str(tmp_path), buckets=4)
+    prepared = search.prepare_queries(queries(spark, *[(" ".join(r.sample(words, 12)), 5) for _ in range(9)]))
+    got = values(search.fts_any_term_indexed(prepared, index, mem, NOW), "query_id", "obs_id", "position")
+    phrases = spark.createDataFrame([(w,) for w in words], "phrase string")
+    weights = textindex.text_weights(textindex.phrase_hits(mem, NOW, phrases))
+    want = values(search.fts_any_term(prepared, weights), "query_id", "obs_id", "position")
+    assert sorted(got) == sorted(want) and got
+
+
 def test_one_common_word_brings_the_rows_it_keeps(spark):
     rows = [("the", i, 0, 1.0 + (i * 37 % 1000) / 1000) for i in range(1000)]
     weights = spark.createDataFrame(rows, "phrase string, obs_id long, entity_id long, weight double")
