@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factfade.llm.running import running_before
-from factfade.llm.tokens import encode_bytes, text_slices
+from factfade.llm.tokens import ENCODED_CHARS, encode_bytes, text_slices
 from factfade.session import materialize
 
 BUDGET = 2048
@@ -69,7 +69,7 @@ def _turns(conversations: DataFrame, tokenizer: str) -> DataFrame:
     def count_tokens(roles: pd.Series, texts: pd.Series) -> pd.Series:
         whole = ["".join((*render(r, t), CLOSE)) for r, t in zip(roles, texts, strict=True)]
         counts: list[int] = []
-        for _, some in text_slices(whole):
+        for _, some in text_slices(whole, ENCODED_CHARS):
             counts += [len(b) // 4 for b in encode_bytes(tokenizer, some)]
         return pd.Series(counts, dtype="int64")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factfade.llm.tokens import encode_bytes, text_slices
+from factfade.llm.tokens import ENCODED_CHARS, encode_bytes, text_slices
 from factfade.session import materialize
 
 ROOM = 1024
@@ -75,7 +75,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int = ROOM) -> Da
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for at, some in text_slices(batch.column("text").to_pylist()):
+            for at, some in text_slices(batch.column("text").to_pylist(), ENCODED_CHARS):
                 rows: list[list] = [[], [], [], [], []]
                 for k, coded in enumerate(encode_bytes(tokenizer, some)):
                     data = coded + ending

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factfade.llm.tokens import encode_bytes, text_slices
+from factfade.llm.tokens import ENCODED_CHARS, encode_bytes, text_slices
 from factfade.session import materialize
 
 BLOCK = 1024
@@ -196,7 +196,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, block: int = BLOCK)
         shard, seq, first = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for at, some in text_slices(texts):
+            for at, some in text_slices(texts, ENCODED_CHARS):
                 coded = [b + ending for b in encode_bytes(tokenizer, some)]
                 lengths = np.array([len(b) // 4 for b in coded], np.int64)
                 payloads = pack(np.frombuffer(b"".join(coded), "<u4"), lengths, block)

@@ -2,7 +2,9 @@
 
 Texts are cut where the tokenizer of the file cuts as well (before white space that
 follows a word), every different piece is encoded once, and the ids of a text are
-the ids of its pieces.  What a worker keeps of them is bounded.
+the ids of its pieces.  Signs behind a word are encoded apart.  Words and signs met
+before are kept within bounds by each worker; the texts are cut, counted and put
+together again in whole columns.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: White space other than a space or a line feed.  Texts that hold it, or white space
 #: beside white space, are cut by pattern.
 _ODD = re.compile(
@@ -25,10 +31,9 @@ _WORDS = re.compile(r"\s*\S+|\s+")
 _UNSURE = re.compile("[\x1c-\x1f]")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A letter and an ASCII sign behind it are always cut apart.
-_SIGNED = re.compile(rf"(.*[{_LETTERS}])([!-/:-@\[-^`{{-~]+)", re.S)
-_SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~")
+_SIGNED = rf"\A(?P<stem>(?s:.*)[{_LETTERS}])(?P<sign>[!-/:-@\[-^`{{-~]+)\z"
 _LETTERS_ALONE = re.compile(f"[{_LETTERS}]+")
-_ONLY_LETTERS = re.compile(rf"\n?[{_LETTERS}]+")
+_ONLY_LETTERS = rf"\A\n?[{_LETTERS}]+\z"
 
 #: A piece after this mark stands for itself, any other one has a space before it
 #: unless it begins with a line feed.
@@ -38,6 +43,8 @@ _AS_IS = "\x1c"
 KEPT_PIECES = 450_000
 LONGEST_KEPT = 48
 SLICE_CHARS = 1 << 20
+#: Characters that are encoded together: the more, the fewer units are looked up twice.
+ENCODED_CHARS = 1 << 22
 
 
 def _pieces(text: str) -> list[str]:
@@ -117,51 +124,24 @@ class _Encoder:
             self.old, self.young = self.young, {}
         return self.young
 
-    def learn(self, missing: set[str]) -> None:
+    def learn(self, missing: list[str]) -> None:
         """Put pieces into the young generation, those of the old one included."""
-        young, old, folds = self.young, self.old, self.folds
-        asked: list[str] = []
-        joined = []
+        young, old = self.young, self.old
+        others = []
         for piece in missing:
             known = old.get(piece)
             if known is not None:
                 young[piece] = known
-                continue
-            stem, sign = piece, None
-            if piece[-1:] in _SIGNS and (match := _SIGNED.fullmatch(piece)):
-                stem, sign = match[1], _AS_IS + match[2]
-            if folds and (stem[:1] == "\n" or stem != stem.lower()) and _ONLY_LETTERS.fullmatch(stem):
-                stem = stem.lstrip("\n").lower()
-            if stem is piece:
-                asked.append(piece)
-                continue
-            joined.append((piece, stem, sign))
-            for part in (stem,) if sign is None else (stem, sign):
-                if part not in young and part not in missing:
-                    known = old.get(part)
-                    if known is None:
-                        asked.append(part)
-                        known = b""  # asked for once
-                    young[part] = known
-        others = asked
-        if self.direct:
-            others = []
-            for part in asked:
-                if _LETTERS_ALONE.fullmatch(part):
-                    young[part] = array("I", self._of_model(part)).tobytes()
-                else:
-                    others.append(part)
+            elif self.direct and _LETTERS_ALONE.fullmatch(piece):
+                young[piece] = array("I", self._of_model(piece)).tobytes()
+            else:
+                others.append(piece)
         made = self.library.encode_batch_fast(
             [_spelled(p) for p in others], add_special_tokens=False
         )
         young.update(
             [(p, array("I", e.ids).tobytes()) for p, e in zip(others, made, strict=True)]
         )
-        for piece, stem, sign in joined:  # a stem or sign is never joined itself
-            young[piece] = young[stem] if sign is None else young[stem] + young[sign]
-        for part in asked:
-            if len(part) > LONGEST_KEPT and part not in missing:
-                del young[part]
 
 
 @lru_cache(maxsize=4)
@@ -180,42 +160,116 @@ def encode_bytes(path: str, texts: list[str]) -> list[bytes]:
             gc.enable()
 
 
+def _is_plain(text: str) -> bool:
+    """Whether single blanks and line feeds are all the white space there is."""
+    return not ("  " in text or " \n" in text or "\n\n" in text or _ODD.search(text))
+
+
+def _distinct_pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(different pieces, number of each piece of the texts, pieces of each text)."""
+    plain = list(map(_is_plain, texts))
+    counts = np.empty(len(texts), np.int64)
+    cut = pc.split_pattern(
+        pa.array(
+            [_AS_IS + t.replace("\n", " \n") for t, p in zip(texts, plain, strict=True) if p],
+            pa.large_string(),
+        ),
+        " ",
+    )
+    flags = np.array(plain, bool)
+    counts[flags] = cut.value_lengths().to_numpy(zero_copy_only=False)
+    flat = cut.flatten()
+    others = [_pieces(t) for t, p in zip(texts, plain, strict=True) if not p]
+    if others:
+        counts[~flags] = list(map(len, others))
+        flat = pa.concat_arrays([flat, pa.array([p for o in others for p in o], pa.large_string())])
+    coded = flat.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    if others:  # they stand behind the plain ones; put every text in its place
+        order = np.concatenate([np.flatnonzero(flags), np.flatnonzero(~flags)])
+        begins = np.empty(len(texts), np.int64)
+        begins[order] = _begins(counts[order])
+        codes = codes[_runs(begins, counts)]
+    return coded.dictionary, codes, counts
+
+
+def _units(pieces: pa.Array, folds: bool) -> tuple[list[str], np.ndarray]:
+    """(different units, the two units of each piece): a word and the signs behind it.
+
+    Where nothing is cut off, the second unit is the empty text.
+    """
+    none, mark = (pa.scalar(c, pa.large_string()) for c in ("", _AS_IS))
+    # Long pieces are rare and left whole.
+    short = pc.if_else(pc.less_equal(pc.binary_length(pieces), 4 * LONGEST_KEPT), pieces, none)
+    cut = pc.extract_regex(short, _SIGNED)
+    signed = cut.is_valid()
+    stems = pc.if_else(signed, pc.struct_field(cut, "stem"), pieces)
+    signs = pc.binary_join_element_wise(mark, pc.struct_field(cut, "sign"), none)
+    signs = pc.if_else(signed, signs, mark)
+    if folds:
+        plain = pc.match_substring_regex(pc.if_else(signed, stems, short), _ONLY_LETTERS)
+        lowered = pc.utf8_lower(pc.utf8_ltrim(pc.if_else(plain, stems, none), characters="\n"))
+        stems = pc.if_else(plain, lowered, stems)
+    coded = pa.concat_arrays([stems, signs]).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().reshape(2, -1).T
+
+
+def _begins(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs, one run after the other."""
+    shift = begins - _begins(sizes)
+    return np.repeat(shift, sizes) + np.arange(int(sizes.sum()))
+
+
 def _encode(known: _Encoder, texts: list[str]) -> list[bytes]:
-    young, join = known.begin(), b"".join
-    out: list[bytes | None] = []
-    missing: set[str] = set()
-    open_ = []
     special = known.special
-    for k, text in enumerate(texts):
-        if special is not None and special(text):
-            out.append(known.encode_whole(text))
-            continue
-        pieces = _pieces(text)
-        parts = list(map(young.get, pieces))
-        try:
-            out.append(join(parts))
-        except TypeError:  # some piece is not known
-            out.append(None)
-            open_.append((k, pieces, parts))
-            missing.update([p for p, ids in zip(pieces, parts, strict=True) if ids is None])
+    if special is not None and any(map(special, texts)):
+        marked = list(map(special, texts))
+        rest = iter(_encode_cut(known, [t for t, m in zip(texts, marked, strict=True) if not m]))
+        return [
+            known.encode_whole(t) if m else next(rest) for t, m in zip(texts, marked, strict=True)
+        ]
+    return _encode_cut(known, texts)
+
+
+def _encode_cut(known: _Encoder, texts: list[str]) -> list[bytes]:
+    """Ids of texts without special tokens: each different unit is looked up once."""
+    if not texts:
+        return []
+    young = known.begin()
+    pieces, codes, counts = _distinct_pieces(texts)
+    units, pairs = _units(pieces, known.folds)
+    found = list(map(young.get, units))
+    missing = [u for u, ids in zip(units, found, strict=True) if ids is None]
     if missing:
         known.learn(missing)
-        for k, pieces, parts in open_:
-            out[k] = join(
-                [young[p] if ids is None else ids for p, ids in zip(pieces, parts, strict=True)]
-            )
-        for piece in [p for p in missing if len(p) > LONGEST_KEPT]:
-            del young[piece]
-    return out
+        found = [young[u] if ids is None else ids for u, ids in zip(units, found, strict=True)]
+        for unit in [u for u in missing if len(u) > LONGEST_KEPT]:
+            del young[unit]
+    pool = np.frombuffer(b"".join(found), "<u4")
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+    pairs = pairs.ravel()
+    pool = pool[_runs(_begins(sizes)[pairs], sizes[pairs])]  # of each different piece
+    sizes = sizes[pairs].reshape(-1, 2).sum(axis=1)
+    lengths = sizes[codes]
+    ids = pool[_runs(_begins(sizes)[codes], lengths)].tobytes()
+    ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))] * 4
+    bounds = ends.tolist()
+    return [ids[i:j] for i, j in zip(bounds, bounds[1:])]
 
 
-def text_slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """(first, texts) with NULL as empty, about a million characters at a time."""
+def text_slices(
+    texts: list[str | None], most: int = SLICE_CHARS
+) -> Iterator[tuple[int, list[str]]]:
+    """(first, texts) with NULL as empty, about ``most`` characters at a time."""
     first, kept, size = 0, [], 0
     for i, text in enumerate(texts):
         kept.append(text or "")
         size += len(kept[-1])
-        if size >= SLICE_CHARS:
+        if size >= most:
             yield first, kept
             first, kept, size = i + 1, [], 0
     if kept:

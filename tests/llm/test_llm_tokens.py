@@ -57,6 +57,25 @@ def test_any_text_gives_the_ids_of_the_library(texts):
         assert encode_bytes(path, texts) == [library(path, t) for t in texts]
 
 
+def test_a_word_is_kept_once_whatever_signs_follow():
+    words = [f"{a}xq{b}" for a in "bdfgh" for b in "klmnp"]
+    signs = [".", ",", "!?", "###"]
+    text = " ".join(w + s for w in words for s in signs)
+    for path in (WORDS, BYTES):
+        known = encoder(path)
+        known.young, known.old = {}, {}
+        assert encode_bytes(path, [text]) == [library(path, text)]
+        assert len(known.young) <= len(words) + len(signs) + 3  # the first word, no sign
+
+
+def test_texts_of_all_kinds_come_back_in_their_order():
+    rng = random.Random(5)
+    bits = ["a", " ", "  ", "\n", "Ab,", "x.", "\t", "<|endoftext|>", "é!", "\x1c", "中", "w" * 300 + "."]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(500)]
+    for path in (WORDS, BYTES):
+        assert encode_bytes(path, texts) == [library(path, t) for t in texts]
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     for _ in range(60):
