@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ _ONLY_LETTERS = rf"\A\n?[{_LETTERS}]+\z"
 #: unless it begins with a line feed.
 _AS_IS = "\x1c"
 
-#: Pieces of one generation; a worker keeps two generations at most.
+#: Units of one generation; a worker keeps two generations at most.
 KEPT_PIECES = 450_000
 LONGEST_KEPT = 48
 SLICE_CHARS = 1 << 20
@@ -75,8 +76,37 @@ _SIGN_OF_BYTE = _byte_signs()
 _PROBES = ("the", "of", "xqzvwy", "straße", "élan", "ñandú")
 
 
+class _Kept:
+    """Units and their ids, in columns: a worker's memory holds a few dozen bytes a unit."""
+
+    def __init__(self, units: pa.Array | None = None, ids=(), sizes=()):
+        self.units = pa.array([], pa.large_string()) if units is None else units
+        self.ids, self.sizes = np.asarray(ids, "<u4"), np.asarray(sizes, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.units)
+
+    def find(self, units: pa.Array) -> np.ndarray:
+        """The place of each unit, -1 for unknown ones."""
+        return np.array(pc.fill_null(pc.index_in(units, value_set=self.units), -1))
+
+    def take(self, places: np.ndarray) -> "_Kept":
+        sizes = self.sizes[places]
+        return _Kept(self.units.take(pa.array(places)), self.ids_at(places), sizes)
+
+    def ids_at(self, places: np.ndarray) -> np.ndarray:
+        return self.ids[_runs(_begins(self.sizes)[places], self.sizes[places])]
+
+    def plus(self, *others: "_Kept") -> "_Kept":
+        parts = [self, *others]
+        return _Kept(
+            pa.concat_arrays([k.units for k in parts]), np.concatenate([k.ids for k in parts]),
+            np.concatenate([k.sizes for k in parts]),
+        )
+
+
 class _Encoder:
-    """Ids of pieces; a piece not met during a whole generation is forgotten."""
+    """Ids of pieces; a unit not met during a whole generation is forgotten."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task is one thread
@@ -94,8 +124,7 @@ class _Encoder:
         self.folds = any(s.get("type") == "Lowercase" for s in steps) and any(
             s.get("pattern") == {"Regex": r"\s+"} and s.get("content") == " " for s in steps
         )
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = _Kept(), _Kept()
         # A word of letters is one unit to the tokenizer: its model alone, without the
         # steps before it, gives the same ids several times faster.
         self.model = self.library.model
@@ -118,29 +147,40 @@ class _Encoder:
             self.whole = Tokenizer.from_file(self.path)
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def begin(self) -> dict[str, bytes]:
-        """The young generation, a new one if it is full."""
+    def ids_of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different units, one after the other, and the number of each."""
         if len(self.young) > KEPT_PIECES:
-            self.old, self.young = self.young, {}
-        return self.young
-
-    def learn(self, missing: list[str]) -> None:
-        """Put pieces into the young generation, those of the old one included."""
-        young, old = self.young, self.old
-        others = []
-        for piece in missing:
-            known = old.get(piece)
-            if known is not None:
-                young[piece] = known
-            elif self.direct and _LETTERS_ALONE.fullmatch(piece):
-                young[piece] = array("I", self._of_model(piece)).tobytes()
-            else:
-                others.append(piece)
+            self.old, self.young = self.young, _Kept()
+        young = self.young
+        places = young.find(units)
+        open_ = np.flatnonzero(places < 0)
+        if len(open_):
+            missing = units.take(pa.array(open_))
+            before = self.old.find(missing)
+            known, new = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+            places[open_[np.concatenate([known, new])]] = len(young) + np.arange(len(open_))
+            young = young.plus(self.old.take(before[known]), self.learnt(missing.take(pa.array(new))))
+            self.young = young
+            long = pc.greater(pc.utf8_length(missing), LONGEST_KEPT)
+            if pc.any(long).as_py():
+                kept = pc.less_equal(pc.utf8_length(young.units), LONGEST_KEPT)
+                self.young = young.take(np.flatnonzero(kept.to_numpy(zero_copy_only=False)))
+        return young.ids_at(places), young.sizes[places]
+
+    def learnt(self, units: pa.Array) -> _Kept:
+        """Units met for the first time, with their ids."""
+        texts = units.to_pylist()
+        ids: list[list[int] | None] = [
+            self._of_model(t) if self.direct and _LETTERS_ALONE.fullmatch(t) else None for t in texts
+        ]
+        others = [k for k, found in enumerate(ids) if found is None]
         made = self.library.encode_batch_fast(
-            [_spelled(p) for p in others], add_special_tokens=False
+            [_spelled(texts[k]) for k in others], add_special_tokens=False
         )
-        young.update(
-            [(p, array("I", e.ids).tobytes()) for p, e in zip(others, made, strict=True)]
+        for k, encoding in zip(others, made, strict=True):
+            ids[k] = encoding.ids
+        return _Kept(
+            units, np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int32)
         )
 
 
@@ -193,7 +233,7 @@ def _distinct_pieces(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray
     return coded.dictionary, codes, counts
 
 
-def _units(pieces: pa.Array, folds: bool) -> tuple[list[str], np.ndarray]:
+def _units(pieces: pa.Array, folds: bool) -> tuple[pa.Array, np.ndarray]:
     """(different units, the two units of each piece): a word and the signs behind it.
 
     Where nothing is cut off, the second unit is the empty text.
@@ -211,11 +251,11 @@ def _units(pieces: pa.Array, folds: bool) -> tuple[list[str], np.ndarray]:
         lowered = pc.utf8_lower(pc.utf8_ltrim(pc.if_else(plain, stems, none), characters="\n"))
         stems = pc.if_else(plain, lowered, stems)
     coded = pa.concat_arrays([stems, signs]).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().reshape(2, -1).T
+    return coded.dictionary, coded.indices.to_numpy().reshape(2, -1).T
 
 
 def _begins(sizes: np.ndarray) -> np.ndarray:
-    return np.cumsum(sizes) - sizes
+    return np.cumsum(sizes, dtype=np.int64) - sizes
 
 
 def _runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -239,18 +279,9 @@ def _encode_cut(known: _Encoder, texts: list[str]) -> list[bytes]:
     """Ids of texts without special tokens: each different unit is looked up once."""
     if not texts:
         return []
-    young = known.begin()
     pieces, codes, counts = _distinct_pieces(texts)
     units, pairs = _units(pieces, known.folds)
-    found = list(map(young.get, units))
-    missing = [u for u, ids in zip(units, found, strict=True) if ids is None]
-    if missing:
-        known.learn(missing)
-        found = [young[u] if ids is None else ids for u, ids in zip(units, found, strict=True)]
-        for unit in [u for u in missing if len(u) > LONGEST_KEPT]:
-            del young[unit]
-    pool = np.frombuffer(b"".join(found), "<u4")
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+    pool, sizes = known.ids_of(units)
     pairs = pairs.ravel()
     pool = pool[_runs(_begins(sizes)[pairs], sizes[pairs])]  # of each different piece
     sizes = sizes[pairs].reshape(-1, 2).sum(axis=1)

@@ -63,7 +63,7 @@ def test_a_word_is_kept_once_whatever_signs_follow():
     text = " ".join(w + s for w in words for s in signs)
     for path in (WORDS, BYTES):
         known = encoder(path)
-        known.young, known.old = {}, {}
+        known.young = known.old = type(known.young)()
         assert encode_bytes(path, [text]) == [library(path, text)]
         assert len(known.young) <= len(words) + len(signs) + 3  # the first word, no sign
 
