@@ -29,6 +29,8 @@ STEPS = 10_000
 RATE = 0.5
 #: The step of the vectors against that of the layer: shares are small numbers.
 _SCALE = 20.0
+#: Characters that are scored together: a worker holds some dozens of bytes for each.
+SCORED_CHARS = 1 << 18
 _SAME = 0  # bucket of the marker; buckets of words and grams begin at 1
 
 
@@ -97,7 +99,7 @@ def train(
 def score_texts(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarray:
     """Probability of label 1 for each text; texts without words get that of the bias."""
     out = []
-    for _, words in word_slices(texts):
+    for _, words in word_slices(texts, most=SCORED_CHARS):
         found, owner = word_features(words.vocabulary, len(table))
         n = len(words.vocabulary)
         value = np.bincount(owner, weights=table[found], minlength=n)

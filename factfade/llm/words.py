@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from factfade.llm.tokens import text_slices
+from factfade.llm.tokens import SLICE_CHARS, text_slices
 
 
 class Words:
@@ -32,8 +32,10 @@ class Words:
         return np.bincount(self.doc, weights=values, minlength=len(self.counts))
 
 
-def word_slices(texts: list[str | None], lower: bool = False) -> Iterator[tuple[int, Words]]:
-    for first, some in text_slices(texts):
+def word_slices(
+    texts: list[str | None], lower: bool = False, most: int = SLICE_CHARS
+) -> Iterator[tuple[int, Words]]:
+    for first, some in text_slices(texts, most):
         yield first, Words(some, lower)
 
 

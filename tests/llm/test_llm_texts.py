@@ -278,3 +278,21 @@ def test_words_are_counted_per_text():
     words = Words(["a b a", "", "b"])
     assert words.vocabulary == ["a", "b"] and words.counts.tolist() == [3, 0, 1]
     assert words.total(np.ones(4)).tolist() == [3.0, 0.0, 1.0] and not re.search("x", "".join(words.vocabulary))
+
+
+def test_scoring_long_batches_holds_a_slice_at_a_time():
+    import random
+    import tracemalloc
+
+    from factfade.llm import quality
+
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(400)) for _ in range(500)]
+    table = np.random.default_rng(0).normal(size=quality.BUCKETS)
+    quality.score_texts(texts[:9], table, 0.1)
+    tracemalloc.start()
+    whole = quality.score_texts(texts, table, 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # two million characters
+    assert (whole == np.concatenate([quality.score_texts([t], table, 0.1) for t in texts])).all()
