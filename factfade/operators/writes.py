@@ -468,6 +468,10 @@ def remember(mem: Memory, facts: DataFrame, as_of, half_life) -> tuple[Write, Da
     dead = dead_event_facts(good, mem, as_of)
     good = materialize(good.join(dead.select("seq"), "seq", "left_anti"), "facts")
     after, entities, rows, result = _store(mem, good, as_of)
+    # Every step of the hints reads the entities: they are worked out once.
+    entities = materialize(entities, "entities")
+    result = materialize(result, "stored")
+    after = after.with_tables(entities=entities)
     owned = good.select("seq", F.col("observation").alias("content")).join(
         result.select("seq", "entity_id"), "seq"
     )

@@ -341,3 +341,17 @@ def test_batches_equal_writing_one_by_one(spark, rows):
         facts(spark, *[{"entity": n, "observation": c, "entity_type": k} for n, c, k in rows]), NOW)
     assert sorted(values(write.result, "seq", "entity_id", "obs_id", "inserted")) == want
     assert sorted(values(write.appended["observations"], "id", "entity_type")) == sorted(stored.values())
+
+
+def test_hints_read_entities_that_are_worked_out_once(spark, monkeypatch):
+    seen = []
+    real = writes.conflict_hints
+
+    def watched(owned, mem, *rest):
+        seen.append(mem.entities._jdf.queryExecution().optimizedPlan().toString())
+        return real(owned, mem, *rest)
+
+    monkeypatch.setattr(writes, "conflict_hints", watched)
+    mem = memory(spark, entities=[ent(1, "A")], observations=[obs(1, 1, "some old words")])
+    writes.remember(mem, facts(spark, ("a", "some new words"), ("B", "y")), NOW, 12)
+    assert len(seen) == 1 and "Join" not in seen[0] and "Window" not in seen[0]
