@@ -48,9 +48,12 @@ def conflict_hints(
         "asked",
     )
     owner = asked.select("query_id", "entity_id")
-    single = term_phrases(asked)
-    whole = whole_phrases(asked, F.col("clean"))
-    phrases = single.select("phrase").unionByName(whole.select("phrase")).distinct()
+    # Cutting texts into words is slow and several steps read them.
+    single = materialize(term_phrases(asked), "single-terms")
+    whole = materialize(whole_phrases(asked, F.col("clean")), "whole-terms")
+    phrases = materialize(
+        single.select("phrase").unionByName(whole.select("phrase")).distinct(), "hint-phrases"
+    )
     weights = text_weights(hits_of(phrases, mem, as_of, index))
 
     def by_text(terms: DataFrame, step: int, channel: str, best) -> DataFrame:

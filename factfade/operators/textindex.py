@@ -27,6 +27,9 @@ _ROW_MARK = ""
 # A batch of phrases up to this many bytes is sent to every executor.
 BROADCAST_BYTES = 16 * 1024 * 1024
 
+# Words that make up at least one in so many of all words count as common.
+COMMON_WORDS = 100_000
+
 # Slack for rounding when rows are ruled out by their best possible score: ten steps of
 # the rounded score, as words that nearly all rows hold differ by little more.
 _SLACK = 10.0 ** (1 - RANK_DECIMALS)
@@ -115,7 +118,6 @@ def phrase_hits(mem: Memory, as_of, phrases: DataFrame) -> DataFrame:
             F.array(F.lit(_ROW_MARK)), "type_tokens",
         ).alias("words"),
     )
-    anchors = _anchored(phrases)
     spot = F.col("at") + 2 - F.col("anchor_no")  # 1-based start of the phrase
     found = (F.col("n_words") == 1) | (
         (spot >= 1) & (F.slice("words", F.greatest(spot, F.lit(1)), F.col("n_words"))
@@ -149,16 +151,14 @@ def phrase_hits(mem: Memory, as_of, phrases: DataFrame) -> DataFrame:
             )
         )
     else:
+        rows = materialize(rows, "index-words")
         each = rows.select(
             "obs_id", "entity_id", "live", "row_tokens",
             F.posexplode("words").alias("at", "token"),
         ).filter(~F.col("token").isin(_FIELD_BREAK, _ROW_MARK))
-        near = each.join(anchors, "token")
-        single = near.filter(F.col("n_words") == 1)
-        several = (
-            near.filter((F.col("n_words") > 1) & (spot >= 1))
-            .join(rows.select("obs_id", "words"), "obs_id").filter(found)
-        )
+        blank = F.contains("phrase", F.lit(" "))
+        single = each.join(phrases.filter(~blank).select("phrase"), each["token"] == F.col("phrase"))
+        several = _several_hits(phrases.filter(blank), rows, each)
         keys = ["phrase", "obs_id", "entity_id", "live", "row_tokens"]
         hits = (
             single.select(*keys).unionByName(several.select(*keys))
@@ -178,6 +178,47 @@ def phrase_hits(mem: Memory, as_of, phrases: DataFrame) -> DataFrame:
     return materialize(hits, "hits")
 
 
+def _several_hits(phrases: DataFrame, rows: DataFrame, each: DataFrame) -> DataFrame:
+    """Occurrences of phrases of several words, looked up by the rarest word of each.
+
+    Only the numbers of a phrase and a row travel until a digest of the words in that
+    place is the digest of the phrase; what is left is compared word by word.
+    """
+    words = F.split("phrase", " ")
+    sought = materialize(
+        phrases.distinct().select(
+            F.monotonically_increasing_id().alias("no"), "phrase", words.alias("phrase_words"),
+            F.size(words).alias("n_words"), F.xxhash64(words).alias("digest"),
+        ),
+        "phrases",
+    )
+    # Of all words only the common ones, a bounded number, are sent to every executor.
+    counts = materialize(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / COMMON_WORDS
+    common = counts.filter(F.col("n") >= least)
+    anchors = (
+        sought.select("no", "n_words", "digest", F.posexplode("phrase_words").alias("place", "token"))
+        .join(F.broadcast(common), "token", "left")
+        .groupBy("no", "n_words", "digest")
+        .agg(
+            F.min(F.struct(F.coalesce("n", F.lit(0)), -F.length("token"), "place", "token"))
+            .alias("rare")
+        )
+        .select("no", "n_words", "digest", "rare.place", "rare.token")
+    )
+    start = F.col("at") + 1 - F.col("place")  # 1-based
+    near = each.join(anchors, "token").filter(start >= 1).select(
+        "no", "n_words", "digest", start.alias("start"), "obs_id", "entity_id", "live", "row_tokens"
+    )
+    place = F.slice("words", F.col("start"), F.col("n_words"))
+    like = near.join(rows.select("obs_id", "words"), "obs_id").withColumn("place", place).filter(
+        F.xxhash64("place") == F.col("digest")
+    )
+    return like.join(sought.select("no", "phrase", "phrase_words"), "no").filter(
+        F.col("place") == F.col("phrase_words")
+    )
+
+
 def text_weights(hits: DataFrame) -> DataFrame:
     """BM25 weight of each phrase in each visible row: (phrase, obs_id, entity_id, weight)."""
     totals = hits.filter(F.col("phrase") == _ROW_MARK)

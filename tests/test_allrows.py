@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from build import NOW, ent, memory, obs, queries, values
 from pyspark.sql import functions as F
@@ -100,3 +102,80 @@ def textindex_any(prepared, weights):
     )
     found = textindex.best_rows(keyed, weights, search.most_hits(prepared), F.lit(0))
     return found.withColumnRenamed("key", "query_id")
+
+
+@pytest.mark.parametrize("sums,matrix,sample", [(1 << 21, 1 << 23, 4096), (64, 100, 4), (7, 0, 4)])
+def test_a_pair_of_blocks_chooses_as_full_sums_do(monkeypatch, sums, matrix, sample):
+    for name, value in (("_SUMS", sums), ("_MATRIX", matrix), ("_SAMPLE", sample)):
+        monkeypatch.setattr(allrows, name, value)
+    r = random.Random(sums)
+    often = [0.75, 1e-6 * 1.1, 1.0 / 3]
+    held = {o: {w: r.choice(often) for w in range(9) if r.random() < 0.7} for o in range(300)}
+    for o in held:
+        held[o] |= {r.randint(9, 200): 5.5 + o % 3}
+    held |= {1000 + k: dict(held[7]) for k in range(6)}  # copies
+    asked = {k: {w: r.randint(1, 2) for w in r.sample(range(200), 40)} for k in range(25)}
+
+    def block(rows):
+        return allrows._pack(pa.table({
+            "grp": [1] * len(rows), "own_block": [0] * len(rows), "owner": [x[0] for x in rows],
+            "no": [x[1] for x in rows], "value": [float(x[2]) for x in rows],
+        }))
+
+    def flat(texts):
+        rows = [(o, w, x) for o, ws in texts.items() for w, x in ws.items()]
+        return r.sample(rows, len(rows))
+
+    found = allrows._best_of_pair(block(flat(asked)), block(flat(held)), 5)
+    want = []
+    for k, ws in asked.items():
+        scores = [
+            (-round(sum(has[w] * ws[w] for w in sorted(has) if w in ws) * 1e9), o)
+            for o, has in held.items() if has.keys() & ws.keys()
+        ]
+        want += [(k, o, -s) for s, o in sorted(scores)[:5]]
+    got = list(zip(*(found[c].to_pylist() for c in ("key", "obs_id", "units")), strict=True))
+    assert sorted(got) == sorted(want)
+
+
+def test_words_of_a_block_travel_in_few_bytes_and_words_of_a_group_in_few_blocks():
+    """Before: 24 bytes a word, and blocks of a group met 64 times as often."""
+    n = 20_000
+    r = np.random.default_rng(1)
+    rows = {"owner": r.integers(0, n // 100, n), "no": r.zipf(1.3, n) % 1000, "value": r.random(n)}
+    packed = allrows._pack(pa.table({"grp": [1] * n, "own_block": [0] * n} | rows))
+    size = sum(len(packed[name][0].as_py()) for name, _ in allrows._PARTS)
+    assert size <= 14 * n
+    assert allrows.ENTRIES >= 1 << 21
+
+
+def test_phrases_looked_up_by_their_rarest_word_are_those_found_in_every_text(spark, monkeypatch):
+    r = random.Random(11)
+    words = ["commonword", "a", "b", "c d", "é"]
+    texts = [" ".join(r.choice(words) for _ in range(12)) + f" n{k % 9}" for k in range(60)]
+    texts += ["a a a a", "commonword commonword commonword", "", "n1 a commonword"]
+    mem = memory(
+        spark, entities=[ent(1, "A commonword")],
+        observations=[obs(k + 1, 1, t) for k, t in enumerate(texts)],
+    )
+    asked = ["a a", "a a a", "commonword b", "commonword commonword", "n1 a", "c d n3", "no such", "b", "c", "a commonword"]
+    asked += [" ".join(t.replace("é", "e").split()[-5:]) for t in texts[:20]]
+    phrases = spark.createDataFrame([(p,) for p in sorted(set(asked))], "phrase string")
+    columns = ("phrase", "obs_id", "entity_id", "live", "tf", "row_tokens")
+
+    def found():
+        hits = textindex.phrase_hits(mem, NOW, phrases).filter(F.col("phrase") != "")
+        return sorted(values(hits.filter(F.col("obs_id").isNotNull()), *columns))
+
+    want = found()
+    met = {}
+    real = textindex._several_hits
+
+    def counted(phrases, rows, each):
+        met["rows"] = real(phrases, rows, each)
+        return met["rows"]
+
+    monkeypatch.setattr(textindex, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(textindex, "_several_hits", counted)
+    assert found() == want and len(want) > 60
+    assert met["rows"].count() == sum(v[4] for v in want if " " in v[0])
