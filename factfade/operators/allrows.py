@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from factfade.operators.textindex import RANK_DECIMALS
@@ -27,6 +27,8 @@ from factfade.session import materialize
 ENTRIES = 1 << 21
 #: Keys of a block at most: few words a key must not make one long task.
 KEYS = 1 << 14
+#: Keys and rows of a pair of blocks of which all rows are handed on.
+ALL_KEYS, ALL_ROWS = 256, 1 << 13
 
 #: Tasks for the pairs of blocks, at most.
 MOST_TASKS = 4096
@@ -39,6 +41,7 @@ _COMMON = 24
 #: Rows from which a first bound of the best is taken.
 _SAMPLE = 4096
 
+_NO_OWNER = -(1 << 63)
 _PACKED = "grp long, own_block long, ids binary, words binary, counts binary, row binary, value binary"
 _PARTS = (("ids", "<i8"), ("words", "<i8"), ("counts", "<i4"), ("row", "<i4"), ("value", "<f8"))
 _SCORED = pa.schema([("key", pa.int64()), ("obs_id", pa.int64()), ("units", pa.int64())])
@@ -46,7 +49,7 @@ _SCORED = pa.schema([("key", pa.int64()), ("obs_id", pa.int64()), ("units", pa.i
 
 def _pack(rows: pa.Table) -> pa.Table:
     """A block in one row: its ids, its words (``no``) and the places of both, word by word."""
-    owner = pc.fill_null(rows["owner"], np.iinfo(np.int64).min).to_numpy()
+    owner = pc.fill_null(rows["owner"], _NO_OWNER).to_numpy()
     no, value = rows["no"].to_numpy(), rows["value"].to_numpy()
     ids, row = np.unique(owner, return_inverse=True)
     order = np.lexsort((row, no))
@@ -184,12 +187,40 @@ def _best_of_pair(asked: pa.Table, held: pa.Table, most: int) -> pa.Table:
     return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_SCORED)
 
 
-def best_rows_of_all(terms: DataFrame, weights: DataFrame, most: int, group: Column) -> DataFrame:
-    """``textindex.best_rows`` without its bounds: (key, obs_id, position), the same rows.
+def _all_of_pair(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """(key, obs_id, units): all rows of the one block with a word of a key of the other.
 
-    ``terms`` is (key, grp, phrase, times, keep); ``group`` says which rows of
-    ``weights`` a key may use.  ``most`` bounds ``keep``.  Keys, groups and ids are longs.
+    Words are added in the order of their numbers, so equal texts have equal sums.
     """
+    if not len(asked) or not len(held):
+        return _SCORED.empty_table()
+    keys, words, counts, key, times = _unpack(asked)
+    ids, held_words, held_counts, row, value = _unpack(held)
+    start = np.cumsum(held_counts, dtype=np.int64) - held_counts
+    at = np.minimum(np.searchsorted(held_words, words), len(held_words) - 1)
+    known = np.repeat(held_words[at] == words, counts)
+    word, key, times = np.repeat(at, counts)[known], key[known], times[known]
+    order = np.argsort(key, kind="stable")  # by key, then by word
+    word, key, times = word[order], key[order], times[order]
+    keys_found, first = np.unique(key, return_index=True)
+    out = []
+    for k, lo, hi in zip(keys_found, first, np.append(first, len(key))[1:], strict=True):
+        size = held_counts[word[lo:hi]].astype(np.int64)
+        places = _spans(start[word[lo:hi]], size)
+        parts = value[places] * np.repeat(times[lo:hi], size)
+        sums = np.bincount(row[places], parts, minlength=len(ids))
+        touched = np.flatnonzero(sums)  # no weight is 0
+        units = np.rint(sums[touched] * 10.0**RANK_DECIMALS).astype(np.int64)
+        out.append((np.full(len(touched), keys[k]), ids[touched], units))
+    if not out:
+        return _SCORED.empty_table()
+    return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_SCORED)
+
+
+def _pairs_of_blocks(
+    terms: DataFrame, weights: DataFrame, group: Column, most_keys: int, most_rows: int | None
+) -> tuple[GroupedData, GroupedData, DataFrame]:
+    """Keys and rows in blocks, once per pair they meet in, and (grp, key, keep) of the keys."""
     numbers = materialize(
         terms.select("phrase").distinct().withColumn("no", F.monotonically_increasing_id()),
         "numbers",
@@ -215,13 +246,15 @@ def best_rows_of_all(terms: DataFrame, weights: DataFrame, most: int, group: Col
         "keys",
     )
 
-    def blocks(n: Column, name: str, least: Column = F.lit(1)) -> Column:
+    def blocks(n: Column, name: str, owners: Column, most: int | None) -> Column:
+        least = F.lit(1) if most is None else F.ceil(owners / F.lit(most))
         return F.greatest(F.ceil(n / F.lit(ENTRIES)), least).cast("long").alias(name)
 
-    many = F.ceil(F.count(F.lit(1)) / F.lit(KEYS))
     sizes = materialize(
-        keeps.groupBy("grp").agg(blocks(F.sum("n"), "asked", many)).join(
-            held.groupBy("grp").agg(blocks(F.count(F.lit(1)), "held")), "grp"
+        keeps.groupBy("grp").agg(blocks(F.sum("n"), "asked", F.count(F.lit(1)), most_keys)).join(
+            held.groupBy("grp").agg(
+                blocks(F.count(F.lit(1)), "held", F.approx_count_distinct("owner"), most_rows)
+            ), "grp",
         ),
         "block-counts",
     )
@@ -242,12 +275,21 @@ def best_rows_of_all(terms: DataFrame, weights: DataFrame, most: int, group: Col
         ).withColumnRenamed(f"{other}_no", other).repartition(tasks, "grp", "asked", "held")
 
     pair = ["grp", "asked", "held"]
-    scored = (
-        packed(asked, "asked", "held").groupBy(*pair)
-        .cogroup(packed(held, "held", "asked").groupBy(*pair))
-        .applyInArrow(
-            lambda left, right: _best_of_pair(left, right, most), "key long, obs_id long, units long"
-        )
+    return (
+        packed(asked, "asked", "held").groupBy(*pair), packed(held, "held", "asked").groupBy(*pair),
+        keeps,
+    )
+
+
+def best_rows_of_all(terms: DataFrame, weights: DataFrame, most: int, group: Column) -> DataFrame:
+    """``textindex.best_rows`` without its bounds: (key, obs_id, position), the same rows.
+
+    ``terms`` is (key, grp, phrase, times, keep); ``group`` says which rows of
+    ``weights`` a key may use.  ``most`` bounds ``keep``.  Keys, groups and ids are longs.
+    """
+    asked, held, keeps = _pairs_of_blocks(terms, weights, group, KEYS, None)
+    scored = asked.cogroup(held).applyInArrow(
+        lambda left, right: _best_of_pair(left, right, most), "key long, obs_id long, units long"
     )
     by_score = Window.partitionBy("key").orderBy(F.desc("units"), "obs_id")
     return (
@@ -255,3 +297,17 @@ def best_rows_of_all(terms: DataFrame, weights: DataFrame, most: int, group: Col
         .join(keeps.select("key", "keep").distinct(), "key").filter(F.col("rn") <= F.col("keep"))
         .select("key", "obs_id", (F.col("rn") - 1).alias("position"))
     )
+
+
+def all_rows_of_all(terms: DataFrame, weights: DataFrame) -> DataFrame:
+    """(key, obs_id, units) of all rows with a phrase of a key; ``terms`` is (key, phrase, times).
+
+    ``units`` is the sum of weights in steps of the rounded rank.
+
+    No pair of a word of a key and a row is written, and a pair of blocks hands on at most
+    ``ALL_KEYS`` times ``ALL_ROWS`` rows at a time.
+    """
+    keyed = terms.filter(F.col("key").isNotNull()).withColumns({"grp": F.lit(0), "keep": F.lit(0)})
+    asked, held, _ = _pairs_of_blocks(keyed, weights, F.lit(0), ALL_KEYS, ALL_ROWS)
+    scored = asked.cogroup(held).applyInArrow(_all_of_pair, "key long, obs_id long, units long")
+    return scored.withColumn("obs_id", F.nullif("obs_id", F.lit(_NO_OWNER)))

@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from factfade.session import materialize
 
+# monotonically_increasing_id counts the rows of a partition in its lower bits.
+_PLACE_BITS = 33
+
 
 def number_rows(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
     """Dense numbers 1..n in the given total order.
 
-    Rows are range-partitioned and written once with the partition they fell
-    into; each is then numbered inside its partition and moved up by the sizes
-    of the partitions before it.  Only one count per partition meets in one task.
+    Rows are range-partitioned, sorted and written once with their place in the partition;
+    each is then moved up by the sizes of the partitions before it.  Rows are dealt a
+    single time, and only one count per partition meets in one task.
     """
     placed = materialize(
-        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered"
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "numbered",
     )
+    placed = placed.withColumn("_part", F.shiftright("_place", _PLACE_BITS))
     before = (
         placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
         .select(
@@ -28,12 +34,11 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "row_no") -> Dat
             ).alias("_before"),
         )
     )
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    inside = F.col("_place").bitwiseAND((1 << _PLACE_BITS) - 1) + 1
     return (
-        placed.withColumn("_inside", inside)
-        .join(before, "_part")
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_part", "_before", "_inside")
+        placed.join(F.broadcast(before), "_part")
+        .withColumn(name, F.col("_before") + inside)
+        .drop("_part", "_before", "_place")
     )
 
 

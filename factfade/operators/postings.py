@@ -38,6 +38,7 @@ from factfade.session import materialize
 
 BUCKETS = 64
 BLOCK_ROWS = 128
+_HASH_BITS = 24  # of a word beside its bucket, when entries are sorted
 
 _ENTRY = "struct<obs_id:bigint,entity_id:bigint,row_tokens:int,at:array<int>>"
 _CUT = f"token string, peak double, mean double, n int, entries array<{_ENTRY}>"
@@ -53,7 +54,11 @@ def _bucket(token: Column, buckets: int) -> Column:
 
 def _rows(observations: DataFrame, entities: DataFrame) -> DataFrame:
     """(obs_id, entity_id, row_tokens, words); a break no phrase crosses is between fields."""
-    names = entities.select(F.col("id").alias("entity_id"), tokens(F.col("name")).alias("_name"))
+    # Written once: its true size lets a small table of names go to the texts, not both be dealt.
+    names = materialize(
+        entities.select(F.col("id").alias("entity_id"), tokens(F.col("name")).alias("_name")),
+        "index-names",
+    )
     empty = F.array().cast("array<string>")
     return (
         observations.filter(F.col("deleted_at").isNull())
@@ -126,7 +131,7 @@ def _cut_blocks(mean: float):
             "mean": pa.array(np.full(len(cut), mean)),
             "n": pa.array(np.diff(bounds), pa.int32()),
             "entries": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows),
-            "token_bucket": columns["token_bucket"].take(starts),
+            "token_bucket": pc.shift_right(columns["word_no"].take(starts), _HASH_BITS).cast(pa.int32()),
         })
 
     def run(batches):
@@ -186,15 +191,19 @@ class TextIndex:
         mean = float(rows.agg(F.avg("row_tokens")).first()[0] or 0.0) or 1.0
         # Dealt once, in the order of the blocks: bucket, token, weight.  Blocks are cut
         # where they lie, so a common word is many tasks and entries move a single time.
+        # A number tells nearly all words apart: rows are compared without their words.
+        bucket = _bucket(F.col("token"), self.buckets).cast("long")
         entries = rows.mapInArrow(_places, _PLACES).select(
-            _bucket(F.col("token"), self.buckets).alias("token_bucket"), "token",
+            (bucket * F.lit(1 << _HASH_BITS)
+             + F.shiftrightunsigned(F.xxhash64("token"), 64 - _HASH_BITS)).alias("word_no"),
+            "token",
             (-_saturation(F.col("tf"), F.col("row_tokens"), mean)).alias("heavy"),
             "obs_id", "entity_id", "row_tokens", "at",
         )
-        order = ["token_bucket", "token", "heavy", "obs_id"]
+        order = ["word_no", "token", "heavy", "obs_id"]
         blocks = (
             entries.repartitionByRange(*order).sortWithinPartitions(*order)
-            .mapInArrow(_cut_blocks(mean), f"{_CUT}, token_bucket int")
+            .mapInArrow(_cut_blocks(mean), f"{_CUT}, token_bucket int")  # of the sorted number
         )
         self._put(blocks, "blocks", batch)
         counts = (

@@ -27,7 +27,7 @@ from factfade.functions.text import (
     trim_white,
 )
 from factfade.model import Memory
-from factfade.operators.allrows import best_rows_of_all
+from factfade.operators.allrows import all_rows_of_all, best_rows_of_all
 from factfade.operators.ordering import number_rows
 from factfade.operators.postings import TextIndex
 from factfade.operators.substrings import (
@@ -40,7 +40,6 @@ from factfade.operators.substrings import (
 from factfade.operators.textindex import (
     RANK_DECIMALS,
     best_rows,
-    exact_sum,
     phrase_hits,
     text_weights,
 )
@@ -624,14 +623,15 @@ def text_match_ids(
     asked = queries.select(
         "query_id", F.lit(0).alias("collect"), query_terms(F.col("text")).alias("clean")
     )
-    terms = term_phrases(asked)
+    terms = materialize(term_phrases(asked), "match-terms")
     weights = text_weights(hits_of(terms.select("phrase").distinct(), mem, as_of, index))
     ranked = materialize(
-        terms.join(weights, "phrase")
-        .groupBy("query_id", "obs_id")
-        .agg(
-            F.round(-exact_sum(F.col("weight") * F.col("times")), RANK_DECIMALS).cast("double")
-            .alias("text_rank")
+        all_rows_of_all(
+            terms.select(F.col("query_id").alias("key"), "phrase", "times"),
+            weights.select("phrase", "obs_id", "weight"),
+        ).select(
+            F.col("key").alias("query_id"), "obs_id",
+            (-F.col("units") / 10.0**RANK_DECIMALS).alias("text_rank"),
         ),
         "text-ranks",
     )

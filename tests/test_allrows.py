@@ -179,3 +179,46 @@ def test_phrases_looked_up_by_their_rarest_word_are_those_found_in_every_text(sp
     monkeypatch.setattr(textindex, "_several_hits", counted)
     assert found() == want and len(want) > 60
     assert met["rows"].count() == sum(v[4] for v in want if " " in v[0])
+
+
+def test_match_ids_write_no_pairs_of_word_and_row(spark, monkeypatch):
+    """Before, every word of a query met every row holding it, each a row of a shuffle."""
+    n, words = 60, [f"w{k}" for k in range(8)]
+    r = random.Random(8)
+    texts = [" ".join(r.sample(words, 6)) for _ in range(n)]
+    mem = memory(
+        spark, entities=[ent(1, "A")], observations=[obs(k + 1, 1, t) for k, t in enumerate(texts)]
+    )
+    monkeypatch.setattr(allrows, "ALL_KEYS", 7)
+    monkeypatch.setattr(allrows, "ALL_ROWS", 16)
+    pairs = []
+    monkeypatch.setattr(
+        search, "all_rows_of_all", lambda *a: pairs.append(allrows.all_rows_of_all(*a)) or pairs[0]
+    )
+    got = values(
+        search.text_match_ids(queries(spark, *[(t, 2) for t in texts[:20]]), mem, NOW),
+        "query_id", "obs_id", "text_rank", "pos",
+    )
+    assert pairs[0].count() == len(got) == 20 * n
+    hits = textindex.phrase_hits(
+        mem, NOW, spark.createDataFrame([(w,) for w in words], "phrase string")
+    )
+    weight = {(p, o): w for p, o, w in values(textindex.text_weights(hits), "phrase", "obs_id", "weight")}
+    for q in sorted({g[0] for g in got}):
+        mine = sorted((g[3], g[1], g[2]) for g in got if g[0] == q)
+        asked = texts[int(q) - min(int(g[0]) for g in got)].split()
+        want = sorted((-round(sum(weight.get((w, o), 0) for w in asked), 9), o) for o in range(1, n + 1))
+        assert [o for _, o, _ in mine] == [o for _, o in want]
+        assert [x for *_, x in mine] == pytest.approx([s for s, _ in want])
+        assert [p for p, *_ in mine] == list(range(1, n + 1))
+
+
+def test_numbering_deals_rows_once(spark):
+    """Before, numbered rows were dealt by their partition and sorted a second time."""
+    from factfade.operators.ordering import number_rows
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v"))
+    numbered = number_rows(df.repartition(7), [F.col("v")], "no")
+    assert sorted(values(numbered, "v", "no")) == [(v, v + 1) for v in range(1000)]
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
