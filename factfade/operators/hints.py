@@ -96,12 +96,13 @@ def conflict_hints(
     hits = materialize(texts.unionByName(contents), "hint-hits")
     candidates = materialize(merge_hits(cap_candidates(hits, caps, always=2)), "hint-candidates")
     keep = asked.select("query_id", F.lit(MOST_CANDIDATES).alias("keep"))
-    ranked = score_candidates(
-        hydrate(candidates, mem, as_of), keep, as_of, half_life, most=MOST_CANDIDATES
-    )
+    # All candidates are dealt to be ranked: with their snippets, not their whole texts.
+    hydrated = hydrate(candidates, mem, as_of).withColumn(
+        "snippet", compact_snippet(F.col("content")).getField("content")
+    ).drop("content")
+    ranked = score_candidates(hydrated, keep, as_of, half_life, most=MOST_CANDIDATES)
     # Scores fall with the rank, so the first k rows above the bound are the best k.
     return ranked.filter((F.col("composite_score") >= min_score) & (F.col("rank") <= k)).select(
         F.col("query_id").alias("seq"), "rank", "obs_id",
-        F.col("composite_score").alias("similarity"),
-        compact_snippet(F.col("content")).getField("content").alias("snippet"),
+        F.col("composite_score").alias("similarity"), "snippet",
     )

@@ -222,3 +222,20 @@ def test_numbering_deals_rows_once(spark):
     assert sorted(values(numbered, "v", "no")) == [(v, v + 1) for v in range(1000)]
     plan = numbered._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan
+
+
+def test_hints_rank_candidates_without_their_whole_texts(spark, monkeypatch):
+    """Before, the text of each of the fifty candidates of a fact was dealt to be ranked."""
+    mem = memory(spark, entities=[ent(1, "A")], observations=[obs(1, 1, "word " * 60)])
+    facts = spark.createDataFrame([(1, 1, "word")], "seq long, entity_id long, content string")
+    ranked = []
+    real = hints.score_candidates
+
+    def score(hydrated, *args, **options):
+        ranked.append(hydrated)
+        return real(hydrated, *args, **options)
+
+    monkeypatch.setattr(hints, "score_candidates", score)
+    found = values(hints.conflict_hints(facts, mem, NOW, 12, min_score=0.0), "obs_id", "snippet")
+    assert found == [(1, ("word " * 60)[:119] + "…")]
+    assert "content" not in ranked[0].columns
